@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, line_dedup, pii, quality_rules
+from sluice.llm import decontaminate, line_dedup, minhash, packing, pii, quality_rules, token_output, warc
 from sluice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read(token_output.write(table(spark, sf_dir, "documents"), end=1))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), end=2)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_lines(docs, F.col("source")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -35,7 +51,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_output": op4_token_output,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
+    "op7_packing": op7_packing,
+    "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -123,6 +143,15 @@ SELECT doc_id, {count}, sha256({text.format(where=" FILTER (k < 4)")}) AS base_s
 FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, cast(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
@@ -144,5 +173,6 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op5_pii": _pii_sql(),
+    "op6_warc": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
 }
