@@ -29,7 +29,9 @@ from sluice.llm.tokens import tokenizer_path
 
 CAPACITY = 4096
 #: Windows of a portion, and the ids left free in each when a portion is closed, which differencing rarely overruns.
-WINDOWS, SLACK = 128, 12
+WINDOWS, SLACK = 128, 24
+#: Longest piece of a leftover: differencing balances windows of several pieces closely.
+PIECE = 1024
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -84,6 +86,7 @@ def pack(
     path = path or tokenizer_path()
     width = id_width(path, end)
     tokens = stored(tokenized(docs, path, end, doc_id, text), "ids")
+    piece = max(1, PIECE * capacity // CAPACITY)
     full = WINDOWS * (capacity - SLACK * capacity // CAPACITY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +124,7 @@ def pack(
                     place([(doc, start, own[start : start + capacity], len(own))])
                 start = whole
                 while start < len(own):
-                    some = own[start : start + full - size]
+                    some = own[start : start + min(full - size, piece)]
                     held.append((doc, start, some, len(own)))
                     start, size = start + len(some), size + len(some)
                     if size == full:
