@@ -92,3 +92,28 @@ def get_range(uri: str, start: int, length: int) -> bytes:
     fs, path = file_system(uri)
     with fs.open_input_file(path) as f:
         return f.read_at(length, start)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, int]]:
+    """(doc_id, whole text, label) of at most bound labelled rows that labels may be learned from, chosen by a hash of the id, in its order."""
+    some = labels.filter(~held_out(F.col(doc_id)) & F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
+    some = some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(bound)
+    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(some), "_id")
+    return sorted(((r["_id"], r["_t"], r["_y"]) for r in found.toLocalIterator()), key=lambda r: (r[0], r[2]))
+
+
+def logistic(x, y, ridge: float = 1e-2, steps: int = 40):
+    """(weights, bias, means, scales) of a logistic regression by Newton's method on standardised features."""
+    import numpy as np
+
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * len(x) * 1e-2 * np.eye(z.shape[1])
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * 1e-2 * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1]), mean, scale
