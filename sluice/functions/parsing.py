@@ -60,12 +60,21 @@ def normalize_decimal(text) -> Column:
 
 
 def smart_decimal(text, kind: str = DECIMAL) -> Column:
-    """Plain numbers and those of normalize_decimal; null for others."""
-    return F.coalesce(normalize_decimal(text).try_cast(kind), plain_number(text).try_cast(kind))
+    """The decimal of a text whose marks leave no doubt; null without marks, and where they do."""
+    return normalize_decimal(text).try_cast(kind)
 
 
 def smart_double(text) -> Column:
-    return F.coalesce(normalize_decimal(text).try_cast("double"), plain_number(text).try_cast("double"))
+    return normalize_decimal(text).try_cast("double")
+
+
+def decimal_of(text, kind: str = DECIMAL) -> Column:
+    """smart_decimal, else a plain number in which a dot is the mark and commas separate thousands."""
+    return F.coalesce(smart_decimal(text, kind), plain_number(text).try_cast(kind))
+
+
+def double_of(text) -> Column:
+    return F.coalesce(smart_double(text), plain_number(text).try_cast("double"))
 
 
 def plain_number(text) -> Column:
@@ -106,8 +115,8 @@ def infer(text, options: ParseOptions | None = None) -> Column:
         kept = kept | (digits & (F.length(t) >= o.large_integer_digits))
     whole = F.when(t.rlike(r"^[+-]?[0-9]+$"), t)
     as_int, as_long = whole.try_cast("int"), whole.try_cast("long")
-    as_decimal = smart_decimal(t) if o.smart_decimal else plain_number(t).try_cast(DECIMAL)
-    as_double = F.coalesce(smart_double(t), F.when(t.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), t.try_cast("double")))
+    as_decimal = decimal_of(t) if o.smart_decimal else plain_number(t).try_cast(DECIMAL)
+    as_double = F.coalesce(double_of(t), F.when(t.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), t.try_cast("double")))
     guid = F.when(t.rlike(GUID), F.lower(F.regexp_replace(t, "[^0-9a-fA-F]", "")))
     guid = F.regexp_replace(guid, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     values = {"boolean": boolean_of(t), "int": as_int, "long": as_long, "decimal": as_decimal, "double": as_double, "timestamp": timestamp_of(t), "guid": guid}

@@ -26,7 +26,7 @@ def select_many(df: DataFrame, collection: Column, name: str = "item", keep: tup
 
 def select_many_indexed(df: DataFrame, keys, collection: Callable[[Column], Column], name: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
     """collection takes the parent's position; the element's own place is in `index`."""
-    return positions(df, keys).select(*keep, F.posexplode(collection(F.col(POSITION))).alias("index", name))
+    return positions(df, keys).select(*keep, F.posexplode(collection(F.col(POSITION))).alias("index", name)).withColumn("index", F.col("index").cast("long"))
 
 
 def flatten(df: DataFrame, collection: str, separator: Column | None = None, name: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -34,7 +34,7 @@ def flatten(df: DataFrame, collection: str, separator: Column | None = None, nam
     inner = F.col(collection)
     if separator is not None:
         inner = F.concat(F.coalesce(inner, F.array().cast(df.schema[collection].dataType)), F.array(separator))
-    return df.select(*keep, F.posexplode(inner).alias("index", name))
+    return df.select(*keep, F.posexplode(inner).alias("index", name)).withColumn("index", F.col("index").cast("long"))
 
 
 def append(df: DataFrame, row: DataFrame, keys) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.parsing import boolean_of, smart_decimal, smart_double, timestamp_of
+from sluice.functions.parsing import boolean_of, decimal_of, double_of, timestamp_of
 from sluice.schema.resolve import resolve
 
 #: StructField metadata: the place of a field in positional binding, allowed values, and dates' formats.
@@ -26,9 +26,9 @@ def converted(value: Column, source: T.DataType, field: T.StructField) -> Column
     if isinstance(to, T.BooleanType):
         out = F.coalesce(boolean_of(text), F.when(text == "1", True).when(text == "0", False))
     elif isinstance(to, T.DecimalType):
-        out = smart_decimal(text, kind)
+        out = decimal_of(text, kind)
     elif isinstance(to, (T.FloatType, T.DoubleType)):
-        out = F.coalesce(text.try_cast(kind), smart_double(text).try_cast(kind))
+        out = F.coalesce(text.try_cast(kind), double_of(text).try_cast(kind))
     elif isinstance(to, T.TimestampType):
         tries = [F.try_to_timestamp(text, F.lit(f)) for f in (field.metadata or {}).get(FORMATS, ())]
         out = F.coalesce(*tries, timestamp_of(text))
