@@ -2,10 +2,10 @@
 
 A document is its set of distinct five-word shingles. Equal sets are one class,
 whatever their number, and only a class's smallest document goes on. Bands of
-MinHash values put similar sets into common buckets. An odd sketch folds the
-MinHash samples of a set into a parity bitmap; the population count of the XOR of
-two bitmaps estimates a high similarity closely, so most chance encounters in a
-bucket end there. What remains is confirmed on the full sets.
+MinHash values put similar sets into common buckets. An odd sketch folds MinHash
+samples of a set, its smallest hashes, into a parity bitmap; the population count
+of the XOR of two bitmaps estimates a high similarity closely, exactly but for
+folding where the sets are small, so most chance encounters in a bucket end there. What remains is confirmed on the full sets.
 
 Buckets are never expanded into pairs:
 
@@ -39,10 +39,10 @@ SHINGLE = 5
 PERCENT = 75
 #: A pair at 0.75 misses all of 40 bands of 4 values with a probability of 2.5e-7.
 BANDS, ROWS = 40, 4
-#: Bits of an odd sketch; it folds all BANDS * ROWS samples.
-BITS = 512
-#: The similarity below which an estimate rules a pair out: nearly six standard errors, of samples and sketch together, below 0.75.
-LEAST_ESTIMATE = 0.45
+#: MinHash samples of an odd sketch (the smallest values of the set; smaller sets go in whole) and its bits.
+SAMPLES, BITS = 512, 2048
+#: Standard errors of sampling by which a pair of larger sets must miss 0.75 to be ruled out.
+MARGIN = 5
 #: Most members of a block in the kernel.
 BLOCK = 1024
 MOST_ROUNDS = 12
@@ -105,16 +105,30 @@ def seeds() -> np.ndarray:
     return mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def odd_sketch(low: np.ndarray) -> bytes:
-    """Bit b is the parity of the samples that fall on b."""
-    place = mix(low + np.arange(1, len(low) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) % np.uint64(BITS)
+def odd_sketch(own: np.ndarray) -> bytes:
+    """Bit b is the parity of the samples that fall on b. The hashes are sorted, so the smallest ones come first."""
+    place = (own[:SAMPLES] >> np.uint64(7)) % np.uint64(BITS)
     return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
-def most_differing_bits() -> int:
-    """Differing bits of two sketches at LEAST_ESTIMATE: of n samples, the 2 n (1 - J) that differ toggle bits of BITS."""
-    toggles = 2 * BANDS * ROWS * (1 - LEAST_ESTIMATE)
-    return int(np.ceil(BITS * (1 - np.exp(-2 * toggles / BITS)) / 2))
+def admitted(na, nb, apart) -> np.ndarray:
+    """Whether sets of na and nb shingles, whose sketches differ in so many bits, may have a similarity of 0.75.
+
+    At 0.75 the sets share 3/7 of na + nb. Samples are common at the rate of the larger
+    set, and each sample that differs toggles a bit. Never more bits differ than
+    samples do, so sets that went in whole are ruled out without any error.
+    """
+    na, nb = np.asarray(na, np.float64), np.asarray(nb, np.float64)
+    low, high, share = np.minimum(na, nb), np.maximum(na, nb), PERCENT / (100 + PERCENT)
+    rate = np.minimum(1, SAMPLES / high)
+    common = share * (na + nb) * rate
+    taken = np.minimum(na, SAMPLES) + np.minimum(nb, SAMPLES)
+    p = np.clip(common / np.minimum(high, SAMPLES), 0, 1)
+    sampling = np.where(rate < 1, 2.4 * np.sqrt(SAMPLES * p * (1 - p)) + 2, 0)
+    toggles = taken - 2 * common + MARGIN * sampling
+    folding = np.sqrt(2 * toggles * toggles / BITS) + 1
+    most = BITS / 2 * (1 - np.exp(-2 * toggles / BITS)) + MARGIN * folding
+    return (100 * low >= PERCENT * high) & (apart <= most)
 
 
 def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -132,7 +146,7 @@ def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     continue
                 low = signature(own, of)
                 band = mix((low.reshape(BANDS, ROWS) * of[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), band.view(np.int64), odd_sketch(low)))
+                rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), band.view(np.int64), odd_sketch(own)))
             out = pd.DataFrame(rows, columns=["n", "fp", "bands", "sketch"])
             out.insert(0, "doc", batch[doc_id].to_numpy())
             yield out
@@ -180,8 +194,6 @@ def kernel(groups: DataFrame, best: bool) -> DataFrame:
     sketch. best: for each member only its nearest partner in each block pair.
     Rows of a group arrive together; one group at a time is held.
     """
-    limit = most_differing_bits()
-
     def pairs(g: pd.DataFrame) -> list[tuple[int, int, int]]:
         if g["comp"].nunique() < 2:
             return []
@@ -193,8 +205,7 @@ def kernel(groups: DataFrame, best: bool) -> DataFrame:
         for i in range(len(one)):
             rest = slice(i + 1 if same and not best else 0, None)
             apart = np.bitwise_count(s2[rest] ^ s1[i]).sum(axis=1, dtype=np.int64)
-            low, high = np.minimum(n2[rest], n1[i]), np.maximum(n2[rest], n1[i])
-            ok = np.flatnonzero((c2[rest] != c1[i]) & (apart <= limit) & (100 * low >= PERCENT * high))
+            ok = np.flatnonzero((c2[rest] != c1[i]) & admitted(n1[i], n2[rest], apart))
             if len(ok) and best:
                 ok = ok[np.lexsort((d2[rest][ok], apart[ok]))[:1]]
             out += [(int(min(d1[i], d)), int(max(d1[i], d)), int(x)) for d, x in zip(d2[rest][ok], apart[ok], strict=True)]
@@ -219,7 +230,7 @@ def kernel(groups: DataFrame, best: bool) -> DataFrame:
     return groups.mapInPandas(run, "a long, b long, apart long").distinct()
 
 
-def blocks(members: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, light: DataFrame) -> DataFrame:
     """Members of buckets that span components, dealt in pairs of blocks; a bucket that repeats another's members is left out."""
     spread = (
         members.groupBy("bucket")
@@ -234,7 +245,7 @@ def blocks(members: DataFrame) -> DataFrame:
     dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     part = F.expr("least(_own, _other) * _parts + greatest(_own, _other)")
     side = F.expr("CASE WHEN _own = _other THEN 2 WHEN _own < _other THEN 0 ELSE 1 END")
-    groups = dealt.select("bucket", part.alias("part"), side.alias("side"), "doc", "comp", "n", "sketch")
+    groups = dealt.select("bucket", part.alias("part"), side.alias("side"), "doc", "comp").join(light, "doc")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return groups.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
 
@@ -259,12 +270,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     tested = first_round(members, light, docs, doc_id, text)
     links = tested.filter("linked")
     comps = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    known = stored(members.select("bucket", "doc").join(light, "doc"), "known")
+    known = members.select("bucket", "doc")
 
     best = True
     for _ in range(MOST_ROUNDS):
         placed = known.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        found = kernel(blocks(placed), best).join(tested, ["a", "b"], "left_anti")
+        found = kernel(blocks(placed, light), best).join(tested, ["a", "b"], "left_anti")
         if best:
             # Of the partners that a member has in several blocks and buckets, the nearest.
             nearest = found.select(F.explode(F.array("a", "b")).alias("_d"), "a", "b", "apart").groupBy("_d").agg(F.min(F.struct("apart", "a", "b")).alias("p"))
@@ -299,13 +310,13 @@ def first_round(members: DataFrame, light: DataFrame, docs: DataFrame, doc_id: s
     one = often.groupBy("doc").agg(F.max(F.struct("_often", (-F.col("centre")).alias("_c"))).alias("_x"))
     pairs = one.select((-F.col("_x._c")).alias("a"), F.col("doc").alias("b"))
     sided = pairs.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b")
-    possible = sided.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    limit = most_differing_bits()
+    possible = sided.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch[k]), np.uint64).reshape(len(batch), -1) for k in ("sa", "sb"))
-            yield batch.loc[np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit, ["a", "b"]]
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.loc[admitted(batch["na"], batch["nb"], apart), ["a", "b"]]
 
     pairs = stored(possible.mapInPandas(near, "a long, b long"), "pairs")
     return stored(tests(pairs, docs, doc_id, text), "tested")
