@@ -141,8 +141,12 @@ def csv_of(raw: DataFrame, options: CsvOptions) -> Result:
 def inferred(df: DataFrame, options: CsvOptions) -> T.StructType:
     """Types of text columns from sample rows: the first of the ladder that fails at most once among them. Later misfits become null."""
     p = replace(options.parse, double=True)
-    found = df.limit(options.sample_rows).select(*[infer(F.col(f"`{c}`"), p).alias(f"c{k}") for k, c in enumerate(df.columns)])
-    rows = found.collect()
+    sample = [(k, v) for r in df.limit(options.sample_rows).collect() for k, v in enumerate(r) if v]
+    # One expression over all cells, however many columns there are.
+    found = df.sparkSession.createDataFrame(sample, "k int, text string").select("k", "text", infer("text", p)["tag"].alias("tag"))
+    cells: dict[int, list[tuple[str, str]]] = {}
+    for k, v, tag in found.collect():
+        cells.setdefault(k, []).append((v, tag))
     accepts = {
         "boolean": {"boolean"}, "int": {"int"}, "long": {"int", "long"}, "decimal": {"int", "long", "decimal"}, "double": {"int", "long", "decimal", "double"},
         "timestamp": {"timestamp"}, "guid": {"guid"},
@@ -150,9 +154,9 @@ def inferred(df: DataFrame, options: CsvOptions) -> T.StructType:
     kinds = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "decimal": T.DecimalType(38, 10), "double": T.DoubleType(), "timestamp": T.TimestampType(), "guid": T.StringType()}
     out = T.StructType()
     for k, c in enumerate(df.columns):
-        tags = [r[k]["tag"] for r in rows if r[k]["string"]]
+        tags = [tag for _, tag in cells.get(k, ())]
         # Digits that must stay as written rule numbers out at once.
-        kept = any(r[k]["tag"] == "string" and r[k]["string"].isdigit() for r in rows if r[k]["string"])
+        kept = any(tag == "string" and v.strip().isdigit() for v, tag in cells.get(k, ()))
         kind: T.DataType = T.StringType()
         for name, ok in accepts.items():
             if tags and sum(t not in ok for t in tags) <= 1 and any(t in ok for t in tags) and not (kept and name not in ("boolean", "timestamp", "guid")):
@@ -270,8 +274,25 @@ def longest_string(v: object) -> int:
     return max(map(longest_string, v), default=0) if isinstance(v, list) else 0
 
 
+def named(v: object, to: T.DataType | None) -> object:
+    """Property names as the schema writes them; they match in any case, exact ones first."""
+    if isinstance(to, T.ArrayType) and isinstance(v, list):
+        return [named(x, to.elementType) for x in v]
+    if not isinstance(to, T.StructType) or not isinstance(v, dict):
+        return v
+    exact, lower = {f.name: f for f in to}, {f.name.lower(): f for f in to}
+    out = {}
+    for k, x in v.items():
+        f = exact.get(k) or lower.get(k.lower())
+        if f is None:
+            out[k] = x
+        elif f.name == k or f.name not in v:
+            out[f.name] = named(x, f.dataType)
+    return out
+
+
 def json_rows(files: DataFrame, options: JsonOptions, field: str = "content") -> DataFrame:
-    o = (options.max_elements, options.max_element_bytes, options.max_string_length, options.single_root)
+    o, schema = (options.max_elements, options.max_element_bytes, options.max_string_length, options.single_root), options.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         most, size, length, single = o
@@ -293,7 +314,7 @@ def json_rows(files: DataFrame, options: JsonOptions, field: str = "content") ->
                         fault = ("JsonSizeLimit", f"longer than {size} bytes")
                     if fault is None and length is not None and longest_string(v) > length:
                         fault = ("JsonSizeLimit", f"a string longer than {length}")
-                    rows.append((name, k, None, src, None if fault else json.dumps(v, ensure_ascii=False), *(fault or (None, None))))
+                    rows.append((name, k, None, src, None if fault else json.dumps(named(v, schema), ensure_ascii=False), *(fault or (None, None))))
                 yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, "_file string, _record long, _line long, _raw string, _value string, _kind string, _message string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sluice.sources.errors import ReadOptions, Result
-from sluice.sources.files import JsonOptions, contents, json_of
+from sluice.sources.files import JsonOptions, contents, json_of, named
 
 
 @dataclass
@@ -87,7 +87,7 @@ def rows_of(files: DataFrame, o: YamlOptions) -> DataFrame:
             for name, content in zip(batch["_file"], batch["content"], strict=True):
                 rows = []
                 for k, (value, fault) in enumerate(items(content.decode("utf-8-sig"), o), 1):
-                    text = None if fault else json.dumps(value, ensure_ascii=False, default=str)
+                    text = None if fault else json.dumps(named(value, o.schema), ensure_ascii=False, default=str)
                     rows.append((name, k, None, text or "", text, *(fault or (None, None))))
                 yield pd.DataFrame(rows, columns=["_file", "_record", "_line", "_raw", "_value", "_kind", "_message"])
 
