@@ -31,6 +31,16 @@ def words_of(text: Column, separator: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator, -1), "")
 
 
+#: Stands for a null id where ids travel as numbers.
+NO_ID = -(1 << 63)
+
+
+def id_or_none(column: str | Column) -> Column:
+    """The id, null again where it stood for none."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c != NO_ID, c)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that no label may be learned from: crc32 of the id as text leaves 0 modulo 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -67,7 +67,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids).
 
     Null and empty texts have no words; items without words never occur; an empty
-    benchmark leaves every document clean. Ids must be unique.
+    benchmark leaves every document clean. Rows that share an id, or have none, are one
+    document here: its length is that of the longest, its hits are those of any.
     """
     items = item_words(items, item_id, item_text)
     words = docs.select(F.col(doc_id).alias("_doc"), words_of(ascii_lower(F.col(text)), NON_WORD).alias("_w"))
@@ -114,6 +115,7 @@ def by_shuffle(words: DataFrame, placed: DataFrame, filed: DataFrame, equal: str
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no window of any item."""
+    """The rows of docs that hold no window of any item; rows without an id go together if one of them does."""
     bad = contamination(docs.select(doc_id, text), items, text, doc_id).filter("contaminated").select(doc_id)
-    return docs.join(bad, doc_id, "left_anti")
+    bad = bad.withColumnRenamed(doc_id, "_bad")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")

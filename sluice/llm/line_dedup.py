@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import stored
+
 #: Production parameters: the share of a site's pages above which a line is boilerplate, and the least pages that it must be on.
 RATIO, LEAST_PAGES = 0.01, 5
 #: The boilerplate table is broadcast up to so many bytes of lines; beyond, it is joined by shuffled, salted keys.
@@ -55,31 +57,28 @@ def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float =
     """docs with boilerplate lines taken out of the text, and n_lines, n_dropped (long).
 
     Null and empty texts stay as they are, with n_lines 0 for null. A null site is a
-    site of its own. Rows keep their number and other columns.
+    site of its own. Rows keep their number and other columns; columns of docs named
+    n_lines or n_dropped give way.
     """
-    found = boilerplate(docs, site, text, ratio, least_pages)
-    from sluice.llm.common import stored
-
-    found = stored(found, "boilerplate")
-    size = found.agg(F.coalesce(F.sum(F.expr("aggregate(_lines, 0L, (a, x) -> a + octet_length(x) + 16) + octet_length(_site)")), F.lit(0)).alias("n")).first()["n"]
-    keyed = docs.select("*", F.coalesce(site, F.lit("")).alias("_site"))
-    found = found.withColumnRenamed("_lines", "_drop")
+    found = stored(boilerplate(docs, site, text, ratio, least_pages).withColumnRenamed("_lines", "_drop"), "boilerplate")
+    size = found.agg(F.coalesce(F.sum(F.expr("aggregate(_drop, 0L, (a, x) -> a + octet_length(x) + 16) + octet_length(_site)")), F.lit(0)).alias("n")).first()["n"]
+    # The row goes along as one column, so its names can't clash with those used here.
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(site, F.lit("")).alias("_site"), F.col(text).alias("_text"))
     if size <= BROADCAST_BYTES:
         both = keyed.join(F.broadcast(found), "_site", "left")
     else:
         salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = keyed.withColumn("_salt", F.expr(f"int(pmod(xxhash64({text}), {SALTS}))")).join(salted, ["_site", "_salt"], "left")
-    lines = both.withColumn("_all", F.split(F.col(text), "\n", -1))
+        both = keyed.withColumn("_salt", F.expr(f"int(pmod(xxhash64(_text), {SALTS}))")).join(salted, ["_site", "_salt"], "left")
+    lines = both.withColumn("_all", F.split("_text", "\n", -1))
     kept = lines.withColumn(
         "_kept",
         F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(
             F.filter("_all", lambda x: ~F.array_contains(F.col("_drop"), F.trim(F.translate(x, "\t\r", "  "))))
         ),
     )
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    new = F.when(F.size("_kept") < F.size("_all"), F.array_join("_kept", "\n")).otherwise(F.col(text))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    new = F.when(F.size("_kept") < F.size("_all"), F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return kept.select(
-        *[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.greatest(n("_all"), F.lit(0)).alias("n_lines"),
-        F.greatest(n("_all") - n("_kept"), F.lit(0)).alias("n_dropped"),
+        *[new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in own], n("_all").alias("n_lines"), (n("_all") - n("_kept")).alias("n_dropped")
     )

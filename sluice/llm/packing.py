@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import stored
+from sluice.llm.common import id_or_none, stored
 from sluice.llm.token_output import id_width, tokenized
 from sluice.llm.tokens import tokenizer_path
 
@@ -135,7 +135,7 @@ def pack(
         yield done()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.mapInPandas(run, schema + (", ids array<long>" if ids else ""))
+    return tokens.mapInPandas(run, schema + (", ids array<long>" if ids else "")).withColumn("doc_id", id_or_none("doc_id"))
 
 
 def sequences(pieces: DataFrame, pad: int = 0, capacity: int = CAPACITY) -> DataFrame:

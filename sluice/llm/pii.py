@@ -49,7 +49,7 @@ MOD97 = (
 )
 OCTET = "0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 KINDS = (
-    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(_t, '@')", "true", 0.7, "mail|contact|write|reach"),
+    Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(_t, '@')", "true", 0.7, "e-?mail|mail|contact|write|reach"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "contains(_t, '.')", rf"x.v RLIKE r'^{OCTET}(\.{OCTET}){{3}}$'", 0.6, "ip|host|server|address|login"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", "true", LUHN, 0.7, "card|visa|credit|debit|payment|expir"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(_t, '+')", f"length({DIGITS}) BETWEEN 8 AND 15", 0.6, "tel|phone|call|mobile|fax|whatsapp"),
@@ -123,9 +123,8 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by <KIND>; of overlapping spans the first wins. Null stays null."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    # Spans and text travel together, in one pass.
-    found = spans(own.withColumn("_own", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, ("_own",))
+    # Spans and the row travel together, in one pass.
+    found = spans(docs.select(F.struct("*").alias("_own"), F.col(text).alias("_text")), "_text", ("_own",))
     order = "array_sort(transform(_spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
     parts = (
         f"aggregate({order}, named_struct('at', 0L, 'out', ''), (a, x) -> CASE WHEN x.start < a.at THEN a ELSE named_struct('at', x.end, 'out', "

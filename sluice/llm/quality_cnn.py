@@ -12,12 +12,12 @@ of labelled documents. Scoring is matrix products over batches of whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import held_out, labelled_sample, logistic
@@ -56,11 +56,18 @@ class Network:
         """Largest response of each filter in each chunk; last marks the chunks after which another text starts."""
         x = self.bytes_[data].reshape(-1, 4 * D)
         u, v = x @ self.filters[0], x @ self.filters[1]
+        # A text ends in zeros, whatever comes after it here.
+        nothing = np.tile(self.bytes_[0], 4)
+        end = nothing @ self.filters[1]
         u[:-1] += v[1:]
-        cells = u[: len(u) // (CELL // 4) * (CELL // 4)].reshape(-1, CELL // 4, FILTERS).max(axis=1)
-        own = cells[: len(last) * CELLS].reshape(-1, CELLS, FILTERS).max(axis=1)
-        more = cells[CELLS::CELLS][: len(last)]
-        return np.where(last[:, None], own, np.maximum(own, more)) + self.bias
+        stop = (np.flatnonzero(last) + 1) * (STEP // 4) - 1
+        u[stop] += end - v[stop + 1]
+        cells = u.reshape(-1, CELL // 4, FILTERS)
+        own = cells[: len(last) * CELLS].max(axis=1).reshape(-1, CELLS, FILTERS).max(axis=1)
+        # The next chunk's first cell, but for the window that leaves it.
+        more = cells[CELLS::CELLS, :-1].max(axis=1)
+        more[last] = nothing @ self.filters[0] + end
+        return np.maximum(own, more) + self.bias
 
     def logits(self, pooled: np.ndarray, repeats: np.ndarray) -> np.ndarray:
         h = np.tanh(np.column_stack([np.maximum(pooled, 0), repeats]).astype(np.float32) @ self.w1 + self.b1)
@@ -193,12 +200,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from 0.3). Null and empty texts are scored as one empty chunk."""
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score of a text column; only texts travel to the workers."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.scores(texts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "score": model.scores(batch["text"])})
+    return run
 
-    found = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, "doc long, score double")
-    return found.select(F.col("doc").alias(doc_id), held_out(F.col("doc")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from 0.3). Null and empty texts are scored as one empty chunk; a null id is not held out."""
+    out = F.coalesce(held_out(F.col(doc_id)), F.lit(False)).alias("held_out")
+    scored = docs.select(F.col(doc_id), out, scorer(model)(F.col(text)).alias("score"))
+    return scored.select(doc_id, "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -18,12 +18,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import held_out, labelled_sample, logistic
@@ -224,25 +224,25 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return Model(learned(sample), logistic(x, y), float(y.mean()))
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from 0.5). Null and empty texts are scored as texts without words."""
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score of a text column; only texts travel to the workers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(model.lexicon)
-        for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "score": model.scores(reader, batch["text"])})
+        for texts in batches:
+            yield pd.Series(model.scores(reader, texts))
 
-    found = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, "doc long, score double")
-    return found.select(F.col("doc").alias(doc_id), held_out(F.col("doc")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return run
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their own columns."""
-    model = train(docs, labels, bound)
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from 0.5). Null and empty texts are scored as texts without words; a null id is not held out."""
+    out = F.coalesce(held_out(F.col(doc_id)), F.lit(False)).alias("held_out")
+    scored = docs.select(F.col(doc_id), out, scorer(model)(F.col(text)).alias("score"))
+    return scored.select(doc_id, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(model.lexicon)
-        for batch in batches:
-            yield batch[model.scores(reader, batch["text"]) < 0.5]
 
-    return docs.mapInPandas(run, docs.schema)
+def without_toxic(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their own columns."""
+    return docs.filter(scorer(train(docs, labels, bound))(F.col("text")) < 0.5)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import file_system, new_folder, put_file, stored
+from sluice.llm.common import NO_ID, file_system, id_or_none, new_folder, put_file, stored
 
 LEAST = 1000
 #: Decompressed bytes after which a frame ends.
@@ -114,14 +114,14 @@ def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id",
     """Write the bundles; a row for each: file, uri, n_records, bytes.
 
     Null html is an empty payload, a null url leaves its field out. page_id is a
-    unique integer. A task that is run again writes the same file again.
+    unique integer; one row may lack it. A task that is run again writes the same file again.
     """
     import zstandard  # noqa: F401  fail here, not in the tasks
 
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     payload = F.coalesce(F.col(html), F.lit(""))
-    own = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("html"))
+    own = pages.select(F.coalesce(F.col(page_id), F.lit(NO_ID)).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload.alias("html"))
     digests = stored(own.select("page", F.octet_length("html").cast("long").alias("n"), F.sha1("html").alias("digest")), "digests")
     # Only payloads that come twice have anything to refer to; copies are counted before they move.
     copied = digests.filter(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
@@ -200,7 +200,7 @@ def read(files: DataFrame) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = files.select("file", "uri").repartition(n, "file").select("uri").mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return found.withColumn("refers_to", F.col("refers_to").cast("long"))
+    return found.withColumns({"page_id": id_or_none("page_id"), "refers_to": F.col("refers_to").cast("long")})
 
 
 def row(fields: dict[str, str], block: bytes) -> tuple:

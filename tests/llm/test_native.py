@@ -1,0 +1,184 @@
+"""Quality rules, personal data, line dedup and decontamination against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import decontaminate, line_dedup, pii, quality_rules
+from tests.llm.helpers import clashing, documents, rows
+
+AWKWARD = [None, "", " \t\n", "one", "a b a b a b a b", "É é É é É é", "x" * 5000, "w " * 3000, "a\n\na\n a\nb\r\nb\r\n", "#*$ %&| <>!", "A B C! D!"]
+
+
+def repeat_words(words):
+    where = defaultdict(list)
+    for i in range(len(words) - 2):
+        where[tuple(words[i : i + 3])].append(i)
+    return len({p for at in where.values() if len(at) > 1 for i in at for p in range(i, i + 3)})
+
+
+def test_rules(spark):
+    rng = random.Random(1)
+    texts = AWKWARD + [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    got = {r["doc_id"]: r for r in quality_rules.apply_policy(quality_rules.ledger(clashing(documents(spark, texts)))).collect()}
+    for k, t in enumerate(texts):
+        t, words = t or "", re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat_words(words))
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, t[:40]
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_policies_and_ablations(spark):
+    ledger = quality_rules.ledger(documents(spark, ["a b c " * 30, " ".join(f"word{i}" for i in range(60)), "SHOUT " * 3])).cache()
+    assert rows(quality_rules.apply_policy(ledger, "base"), "doc_id", "kept") == [(0, False), (1, True), (2, False)]
+    out = {r["rule"]: r for r in quality_rules.ablations(ledger).collect()}
+    assert out["few_words"]["n_failed"] == 1 and out["few_words"]["n_docs"] == 3 and out["few_words"]["n_kept"] == 1
+    assert out["repeated_trigrams"]["n_failed"] >= 1
+    assert quality_rules.ledger(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+LOCAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+PATTERNS = {"email": LOCAL, "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def valid(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in v.split("."))
+    if kind == "card":
+        return 16 <= len(d) <= 19 and luhn(d)
+    return kind != "phone" or 8 <= len(d) <= 15
+
+
+def test_base_spans_equal_the_contract(spark):
+    rng = random.Random(2)
+    bits = ["a@b.c", "+d@e.f", "@", ".", "1.2.3.4", "255.256.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111-", "+1 (415) 555-0100", "+", " ", "9", "é", "00012.0.0.1", "4532015112830366", "x", "-", "%", "\n", "  "]
+    texts = [None, "", "a" * 20000, "1." * 5000, "+1" + " " * 9000, "1" * 30000, "𝒳 a@b.c 𝒳 1.2.3.4", "a@b.c_d@e.f", "a@b@c.d", "1.2.3.4.5.6.7.8"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    got = {r["doc_id"]: r for r in pii.find_pii(clashing(documents(spark, texts))).collect()}
+    for k, t in enumerate(texts):
+        spans = [(kind, m.start(), m.end()) for kind, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(kind, m[0])]
+        base = ",".join(f"{a}:{b}:{c}" for a, b, c in spans)
+        r = got[k]
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), (t or "")[:80]
+        assert [r[f"n_{x}"] for x in PATTERNS] == [Counter(s[0] for s in spans)[x] for x in PATTERNS]
+        assert [s for s in r["spans"].split(",") if s and not s.startswith(("iban", "ssn"))] == [s for s in base.split(",") if s]
+
+
+def test_extra_kinds_context_and_redaction(spark):
+    texts = ["pay to DE89370400440532013000 now", "DE89370400440532013001", "my ssn is 123-45-6789.", "part 123-45-6789.", None, "ask bob@x.org or bob@x.org"]
+    docs = clashing(documents(spark, texts))
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert got[0]["spans"] == "iban:7:29" and got[1]["spans"] == "" and got[2]["spans"] == "ssn:10:21" and got[3]["spans"] == ""
+    red = pii.redact(docs)
+    assert red.columns == docs.columns
+    out = {r["doc_id"]: r["text"] for r in red.collect()}
+    assert out[5] == "ask <EMAIL> or <EMAIL>" and out[4] is None and out[2] == "my ssn is <SSN>."
+    near = pii.spans(documents(spark, ["email bob@x.org", "zzz bob@x.org"])).select("doc_id", F.expr("_spans[0].score").alias("s"))
+    scores = dict(rows(near, "doc_id", "s"))
+    assert scores[0] > scores[1]
+
+
+def test_many_spans_pass_the_block_size(spark):
+    text = " ".join(f"a{k}@b.c" for k in range(1000))
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(LOCAL, text))
+    assert pii.find_pii(documents(spark, [text])).first()["spans"] == want
+
+
+def brute_lines(texts, sites, ratio, least):
+    pages, count = Counter(s or "" for s in sites), Counter()
+    for t, s in zip(texts, sites):
+        count.update({(s or "", x.strip(" \t\r")) for x in (t or "").split("\n")})
+    out = []
+    for t, s in zip(texts, sites):
+        if t is None:
+            out.append((None, 0, 0))
+            continue
+        lines = t.split("\n")
+        bad = [x for x in lines if x.strip(" \t\r") and count[s or "", x.strip(" \t\r")] >= least and count[s or "", x.strip(" \t\r")] > ratio * pages[s or ""]]
+        kept = [x for x in lines if x not in bad]
+        out.append((t if not bad else "\n".join(kept), len(lines), len(bad)))
+    return out
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_line_dedup(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    rng = random.Random(3)
+    lines = ["menu", " menu ", "footer\r", "", "x", "long " * 300]
+    texts = [None, ""] + ["\n".join(rng.choice(lines + [f"own {k}"]) for _ in range(rng.randint(1, 6))) for k in range(60)]
+    sites = [None if k % 9 == 0 else f"s{k % 3}" for k in range(len(texts))]
+    docs = clashing(documents(spark, texts, source=sites)).withColumn("n_lines", F.lit("old"))
+    got = line_dedup.drop_lines(docs, F.col("source"), ratio=0.4, least_pages=3)
+    assert set(got.columns) == set(docs.columns) | {"n_dropped"}
+    by_id = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()}
+    assert [by_id[k] for k in range(len(texts))] == brute_lines(texts, sites, 0.4, 3)
+    assert line_dedup.drop_lines(docs.limit(0), F.col("source")).count() == 0
+    assert spark.createDataFrame([("http://A.b/c?d",)], "u string").select(line_dedup.host_of(F.col("u")).alias("h")).first()["h"] == "a.b"
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_contamination(texts, items):
+    words = lambda t: WORD.findall((t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1) if w else ():
+            windows[tuple(w[s : s + n])].add(str(i))
+    out = []
+    for t in texts:
+        w, hit, ids = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in windows:
+                    hit.update(range(s, s + n))
+                    ids |= windows[tuple(w[s : s + n])]
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_contamination(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(["the", "of", "a", "b", "Éa", "éa", "Q1", "z"]) for _ in range(n))
+    items = [(1, some(30)), (2, some(12)), (3, "the of"), (4, "B!"), (5, None), (6, "..."), (22, some(10)), (23, "the of")]
+    items.append((7, items[0][1]))
+    texts = [None, "", "...", "b", "the-of", some(3000)] + [some(rng.randint(0, 40)) for _ in range(30)]
+    texts += [some(5) + " " + items[k][1].upper().replace("É", "É") + " " + some(4) for k in (0, 1, 6)]
+    bench = clashing(spark.createDataFrame(items, "item_id long, text string"))
+    docs = clashing(documents(spark, texts))
+    got = decontaminate.contamination(docs, bench)
+    want = brute_contamination(texts, items)
+    by_id = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()}
+    assert [by_id[k] for k in range(len(texts))] == want
+    left = decontaminate.decontaminated(docs, bench)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {k for k, w in enumerate(want) if not w[4]}
+    empty = decontaminate.contamination(docs, bench.limit(0))
+    assert empty.filter("contaminated").count() == 0 and empty.count() == len(texts)
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_native_operators_run_no_python(spark):
+    docs = documents(spark, ["a b"])
+    bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    for df in (quality_rules.ledger(docs), pii.find_pii(docs), line_dedup.drop_lines(docs, F.col("source")), decontaminate.contamination(docs, bench)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
