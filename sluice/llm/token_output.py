@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import rans
-from sluice.llm.common import file_system, get_range, new_folder, put_file, stored
-from sluice.llm.tokens import Encoder, tokenizer_path
+from sluice.llm.common import NO_ID, file_system, get_range, id_or_none, new_folder, put_file, stored
+from sluice.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"SLUICER1"
 #: Ids of a block.
@@ -33,16 +33,17 @@ BLOCK = 1 << 20
 
 
 def tokenized(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n, ids): each document's ids with the end id, as little-endian bytes of 2 each where the vocabulary allows, else 4."""
+    """(doc, n, ids): each document's ids with the end id, as little-endian bytes of 2 each where the vocabulary allows, else 4. A null id is NO_ID."""
     width = id_width(path, end)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        own, last = encoder(path), np.uint32(end).tobytes()
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in encoder.ids(batch[text])]
-            yield pd.DataFrame({"doc": batch[doc_id], "n": [len(x) for x in ids], "ids": [x.astype(width).tobytes() for x in ids]})
+            ids = [np.frombuffer(x + last, "<u4") for x in own.ids(batch["text"])]
+            yield pd.DataFrame({"doc": batch["doc"], "n": [len(x) for x in ids], "ids": [x.astype(width).tobytes() for x in ids]})
 
-    return docs.select(doc_id, text).mapInPandas(run, "doc long, n long, ids binary")
+    own = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("doc"), F.col(text).alias("text"))
+    return own.mapInPandas(run, "doc long, n long, ids binary")
 
 
 def id_width(path: str, end: int) -> str:
@@ -108,8 +109,9 @@ def unpack_from(coder: rans.Coder, data: bytes, mark: int) -> np.ndarray:
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files and return a row for each: file, uri, n_docs, n_ids, bytes, before (ids in all earlier files).
 
-    Null and empty texts have the end id alone. doc_id is a unique integer. A task
-    that is run again writes the same file again.
+    Null and empty texts have the end id alone. Rows without doc_id come first; rows
+    that share one are documents of their own. A task that is run again writes the
+    same file again.
     """
     spark = docs.sparkSession
     path, folder = path or tokenizer_path(), folder or new_folder(spark, "tokens")
@@ -223,7 +225,8 @@ def read(files: DataFrame, each: str = "digest") -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file", "uri", "before").repartition(n, "file").select("uri", "before").mapInPandas(run, schema)
+    found = files.select("file", "uri", "before").repartition(n, "file").select("uri", "before").mapInPandas(run, schema)
+    return found.withColumn("doc_id", id_or_none("doc_id"))
 
 
 def frame(rows: list[list], with_ids: bool) -> pd.DataFrame:

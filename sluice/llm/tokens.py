@@ -19,10 +19,20 @@ import numpy as np
 CACHE = 1 << 20
 #: Where an ASCII letter ends before a visible ASCII character that is none.
 CUT = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])")
+#: Lower-case Latin words, which neither the normalizer nor the pre-tokenizer changes.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
-class Encoder:
-    """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for the characters from 256 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in visible)
+    letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [letters[b] for b in range(256)]
+
+
+class Known(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         import os
@@ -31,27 +41,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text):
+            # Straight to the model: it reads the word's bytes as letters.
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        value = self[word] = np.asarray(ids, "<u4").tobytes()
+        return value
+
+
+class Encoder:
+    """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        self.known = Known(path)
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """Null texts have no ids."""
         if len(self.known) > CACHE:
             self.known.clear()
-        out: list[bytes] = []
-        texts = list(texts)
-        for at in range(0, len(texts), 256):
-            words = [words_of(text) for text in texts[at : at + 256]]
-            self.learn(list(set().union(*words).difference(self.known)))
-            known = self.known.__getitem__
-            out += [b"".join(map(known, own)) for own in words]
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            found = self.batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        known = self.known.__getitem__
+        return [b"".join(map(known, words_of(text))) for text in texts]
+
+
+#: Encoders of this process: workers serve many tasks, and words learned in one serve the next.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def words_of(text: str | None) -> list[bytes]:
