@@ -54,6 +54,10 @@ class CsvOptions(ReadOptions):
     max_columns: int | None = None
     max_record_length: int | None = None
     encoding: str = "utf-8"
+    multi_line: bool = True
+    """Whether fields may hold line ends; a file is one task then. Without, large files are split."""
+    numbered: bool = False
+    """Whether error rows must have line and record numbers: the exact parser reads all records then, not only odd ones."""
     convert: Callable[[str, Column], Column] | None = None
     """Own conversion of a field: (name, text) -> column."""
 
@@ -87,8 +91,62 @@ def contents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str | Sequence[str], options: CsvOptions | None = None) -> Result:
-    """Records with the header's, the schema's or made-up names; text columns unless a schema or inference types them."""
-    return csv_of(parsed(contents(spark, path), options or CsvOptions()), options or CsvOptions())
+    """Records with the header's, the schema's or made-up names; text columns unless a schema or inference types them.
+
+    Spark's own parser reads the records, and those that it finds odd go to the exact
+    one. What needs every record's quotes, length or number looked at is read by the
+    exact parser alone: STOP, the other quote modes, limits and numbered errors.
+    """
+    o = options or CsvOptions()
+    exact = o.numbered or o.policy() is Action.STOP or o.quote_mode is not QuoteMode.STRICT or o.trailing_garbage_is_error or o.normalize_newlines
+    if exact or o.max_columns is not None or o.max_record_length is not None:
+        return csv_of(parsed(contents(spark, path), o), o)
+    return csv_native(spark, path, o)
+
+
+def csv_native(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) -> Result:
+    head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+    first = next(iter(records([head[0]["value"].lstrip("\ufeff")], o.dialect())), None) if head else None
+    names = named_columns(first.fields if first else None, o)
+    kinds = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
+    lines = (
+        spark.read.schema(kinds)
+        .options(sep=o.separator[:1] or ",", header=o.header, quote='"', escape='"', multiLine=o.multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding=o.encoding)
+        .options(ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, maxCharsPerColumn=-1, enforceSchema=True)
+        .csv(path)
+    )
+    dialect = o.dialect()
+
+    @F.pandas_udf("struct<fields:array<string>,kind:string,message:string>")
+    def again(raw: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in raw:
+            r = next(records([text], dialect), None) if text is not None else None
+            out.append((r.fields if r else None, *((r.fault if r else None) or (None, None))))
+        return pd.DataFrame(out, columns=["fields", "kind", "message"])
+
+    number, ok = F.lit(None).cast("long"), F.col("_bad").isNull()
+    whole = F.array(*[F.coalesce(F.col(f"c{k}"), F.lit("")) for k in range(len(names))])
+    # One pass; the exact parser gets a null, and does nothing, for records in order.
+    rows = lines.withColumns({"_file": F.col("_metadata.file_path"), "_r": again("_bad")})
+    fields = F.when(ok, whole).otherwise(F.coalesce("_r.fields", F.array().cast("array<string>")))
+    rows = rows.select("_file", number.alias("_record"), number.alias("_line"), F.col("_bad").alias("_raw"), fields.alias("_fields"), F.col("_r.kind").alias("_kind"), F.col("_r.message").alias("_message"))
+    return csv_rows(rows, names, o)
+
+
+def named_columns(first: list[str] | None, o: CsvOptions) -> list[str]:
+    """The columns' names from the first record and the options."""
+    if o.schema is not None and not isinstance(o.schema, T.StructType):
+        names = list(o.schema)
+    elif o.header:
+        names = list(first) if first is not None else [f.name for f in o.schema or T.StructType()]
+    elif isinstance(o.schema, T.StructType):
+        names = [f.name for f in o.schema]
+    else:
+        names = [o.column_name(k) for k in range(len(first or ()))]
+    if len(set(names)) < len(names):
+        raise ValueError("column names come twice")
+    return names
 
 
 def csv_simple(spark: SparkSession, path: str, separator: str = ",", on_error=None, *schema: str) -> DataFrame:
@@ -104,21 +162,13 @@ def csv_text(spark: SparkSession, content: str, options: CsvOptions | None = Non
 
 
 def csv_of(raw: DataFrame, options: CsvOptions) -> Result:
-    names = None
-    if isinstance(options.schema, T.StructType) or options.schema is None:
-        first = raw.filter("_record = 1").select("_fields").limit(1).collect()
-        width = len(first[0]["_fields"]) if first else 0
-        if options.header:
-            names = first[0]["_fields"] if first else [f.name for f in options.schema or T.StructType()]
-        elif isinstance(options.schema, T.StructType):
-            names = [f.name for f in options.schema]
-        else:
-            names = [options.column_name(k) for k in range(width)]
-    else:
-        names = list(options.schema)
-    if len(set(names)) < len(names):
-        raise ValueError("column names come twice")
-    body = raw.filter("_record > 1") if options.header else raw
+    first = raw.filter("_record = 1").select("_fields").limit(1).collect()
+    names = named_columns(first[0]["_fields"] if first else None, options)
+    return csv_rows(raw.filter("_record > 1") if options.header else raw, names, options)
+
+
+def csv_rows(body: DataFrame, names: list[str], options: CsvOptions) -> Result:
+    """RAW rows as records and errors."""
     n = F.size("_fields")
     fault = (
         F.when(F.col("_kind").isNotNull(), F.struct(F.col("_kind").alias("type"), F.col("_message").alias("message")))

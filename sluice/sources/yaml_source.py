@@ -66,7 +66,7 @@ def items(text: str, o: YamlOptions) -> Iterator[tuple[object, tuple[str, str] |
     n = 0
     try:
         # The filter reads the events once, the loader builds values from the same text.
-        for _ in checked(yaml.SafeLoader(text), o):
+        for _ in checked(base(text), o):
             pass
         for document in yaml.load_all(text, base):
             for value in document if isinstance(document, list) else [document]:

@@ -114,3 +114,18 @@ def test_writers(spark, tmp_path):
     assert writers.derived_name("/a/b/c.txt", str.upper, True, lambda p: p + "2") == "/a/b2/C.txt"
     (tmp_path / "l.txt").write_bytes("é\nß\n".encode("latin-1"))
     assert [r["value"] for r in files.text(spark, str(tmp_path / "l.txt"), "ISO-8859-1").collect()] == ["é", "ß"]
+
+
+def test_both_csv_parsers_agree(spark, tmp_path):
+    text = 'id,name,note\n1,"a, b",x\n2,"line\nend",\n3,short\n4,too,many,fields\n5,a"b, y \n\n6,"q ""q""",z\n'
+    (tmp_path / "t.csv").write_text(text)
+    for action in (Action.SKIP,):
+        one = files.csv(spark, str(tmp_path / "t.csv"), files.CsvOptions(action=action))
+        two = files.csv(spark, str(tmp_path / "t.csv"), files.CsvOptions(action=action, numbered=True))
+        assert sorted(map(tuple, one.df.collect()), key=repr) == sorted(map(tuple, two.df.collect()), key=repr)
+        assert [(e["error_type"], e["raw_excerpt"]) for e in one.errors.collect()] == [(e["error_type"], e["raw_excerpt"]) for e in two.errors.collect()]
+        assert two.errors.first()["record_number"] == 5 and one.errors.first()["record_number"] is None
+    with pytest.raises(Exception, match="SchemaError"):
+        files.csv(spark, str(tmp_path / "t.csv")).df.collect()
+    (tmp_path / "e.csv").write_text("")
+    assert files.csv(spark, str(tmp_path / "e.csv"), files.CsvOptions(schema=["a", "b"], header=False)).df.count() == 0
