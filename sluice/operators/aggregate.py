@@ -120,3 +120,12 @@ def observed(df: DataFrame, **counters: Column):
 
     seen = Observation()
     return df.observe(seen, *[c.alias(n) for n, c in counters.items()]), seen
+
+
+def long_accumulator(spark, start: int = 0):
+    """A counter that actions on the workers add to, and the driver reads. Tasks that run again add again; observed() counts once."""
+    return spark.sparkContext.accumulator(start)
+
+
+def double_accumulator(spark, start: float = 0.0):
+    return spark.sparkContext.accumulator(start)

@@ -21,6 +21,7 @@ class Settings:
     timeout: float | None = 300.0
     continue_on_error: bool = False
     sequential: bool = False
+    merge: str = "default"
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,12 @@ class Parallel:
     def continue_on_error(self, on: bool = True) -> Parallel:
         return self._set(continue_on_error=on)
 
+    def with_merge_options(self, merge: str) -> Parallel:
+        """default, not_buffered, auto_buffered or fully_buffered: kept, but Spark has no place for it."""
+        if merge not in ("default", "not_buffered", "auto_buffered", "fully_buffered"):
+            raise ValueError(merge)
+        return self._set(merge=merge)
+
     def sequential(self) -> Parallel:
         return self._set(sequential=True)
 

@@ -111,6 +111,8 @@ def to_csv(spark: SparkSession, path: str, options: WorkbookOptions | None = Non
     import tempfile
 
     o, made = options or WorkbookOptions(), []
+    if o.folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, name a folder that all executors share")
     folder = Path(o.folder or tempfile.mkdtemp(prefix="sheets-"))
     folder.mkdir(parents=True, exist_ok=True)
     try:

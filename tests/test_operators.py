@@ -123,6 +123,10 @@ def test_parallel(ten):
     assert p.settings.concurrency == 100 and p.settings.buffer == 10
     with pytest.raises(ValueError):
         p.with_max_concurrency(0)
+    assert p.with_merge_options("auto_buffered").settings.merge == "auto_buffered" and p.with_timeout(9).settings.timeout == 9
+    total = A.long_accumulator(ten.sparkSession)
+    A.do(ten, lambda r: total.add(r["k"]))
+    assert total.value == 45
     bad = as_parallel(ten).continue_on_error().map_rows(lambda r: {"k": 1 // r["k"]}, "k int")
     assert len(bad.collect()) == 9
 
