@@ -126,9 +126,7 @@ def admitted(na, nb, apart) -> np.ndarray:
     p = np.clip(common / np.minimum(high, SAMPLES), 0, 1)
     sampling = np.where(rate < 1, 2.4 * np.sqrt(SAMPLES * p * (1 - p)) + 2, 0)
     toggles = taken - 2 * common + MARGIN * sampling
-    folding = np.sqrt(2 * toggles * toggles / BITS) + 1
-    most = BITS / 2 * (1 - np.exp(-2 * toggles / BITS)) + MARGIN * folding
-    return (100 * low >= PERCENT * high) & (apart <= most)
+    return (100 * low >= PERCENT * high) & (apart <= toggles)
 
 
 def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
