@@ -13,10 +13,12 @@ Buckets are never expanded into pairs:
    shares most often. Groups of near copies become components here, with work in
    proportion to their size.
 2. Buckets whose members still lie in several components go, cut into blocks, to
-   a kernel that compares bitmaps in arrays and puts out, for each member, the best
-   untested partner of another component. Confirmed ones merge; this repeats
-   while it merges anything.
-3. Last, every untested pair between components that the bitmaps admit is tested.
+   a kernel that compares bitmaps in arrays: members outside the bucket's largest
+   component with all others. For each it puts out the nearest partner of another
+   component. Confirmed ones merge; this repeats while it merges anything.
+3. Then every untested pair between components that the bitmaps admit is tested,
+   for the members that had a partner at all. Large components with a link have
+   merged by their nearest pairs, so few pairs are left.
 
 So no link between members of a bucket is lost, and pairs inside a component,
 which could not change the result, are never made.
@@ -45,9 +47,8 @@ SAMPLES, BITS = 512, 2048
 MARGIN = 5
 #: Most members of a block in the kernel.
 BLOCK = 1024
-MOST_ROUNDS = 12
 #: Words whose hashes a worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -182,68 +183,79 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
 
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, linked boolean")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInPandas(run, "a long, b long, linked boolean").distinct()
 
 
 def kernel(groups: DataFrame, best: bool) -> DataFrame:
-    """Untested pairs of members of different components that size and sketch admit, from blocks of buckets.
+    """bucket, d, a, b, apart: pairs (a, b) of members of different components that size and sketch admit, d being the row's member.
 
-    groups: bucket, part (of the block pair), side (0, 1, or 2 for both), doc, comp, n,
-    sketch. best: for each member only its nearest partner in each block pair.
-    Rows of a group arrive together; one group at a time is held.
+    groups: bucket, part (of the grid), side (0: rows, 1: columns), doc, comp, n, sketch.
+    best: for each row only its nearest column in each part. Rows of a part arrive
+    together; one part at a time is held.
     """
-    def pairs(g: pd.DataFrame) -> list[tuple[int, int, int]]:
-        if g["comp"].nunique() < 2:
+
+    def pairs(g: pd.DataFrame) -> list[tuple[int, int, int, int, int]]:
+        one, two = g[g["side"] == 0], g[g["side"] == 1]
+        if not len(one):
             return []
-        one, two = g[g["side"] != 1], g[g["side"] != 0]
-        same = bool((g["side"] == 2).all())
         s1, s2 = (np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1) for x in (one, two))
         n1, n2, c1, c2, d1, d2 = (x[k].to_numpy() for k in ("n", "comp", "doc") for x in (one, two))
-        out: list[tuple[int, int, int]] = []
+        bucket = int(g["bucket"].iloc[0])
+        out: list[tuple[int, int, int, int, int]] = []
         for i in range(len(one)):
-            rest = slice(i + 1 if same and not best else 0, None)
-            apart = np.bitwise_count(s2[rest] ^ s1[i]).sum(axis=1, dtype=np.int64)
-            ok = np.flatnonzero((c2[rest] != c1[i]) & admitted(n1[i], n2[rest], apart))
+            apart = np.bitwise_count(s2 ^ s1[i]).sum(axis=1, dtype=np.int64)
+            ok = np.flatnonzero((c2 != c1[i]) & admitted(n1[i], n2, apart))
             if len(ok) and best:
-                ok = ok[np.lexsort((d2[rest][ok], apart[ok]))[:1]]
-            out += [(int(min(d1[i], d)), int(max(d1[i], d)), int(x)) for d, x in zip(d2[rest][ok], apart[ok], strict=True)]
+                ok = ok[np.lexsort((d2[ok], apart[ok]))[:1]]
+            out += [(bucket, int(d1[i]), int(min(d1[i], d)), int(max(d1[i], d)), int(x)) for d, x in zip(d2[ok], apart[ok], strict=True)]
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["bucket", "d", "a", "b", "apart"]
         held: list[pd.DataFrame] = []
-        found: list[tuple[int, int, int]] = []
         for batch in batches:
             held.append(batch)
             whole = pd.concat(held) if len(held) > 1 else batch
-            key = whole["bucket"].to_numpy(), whole["part"].to_numpy()
-            ends = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
-            for a, b in zip([0, *ends], ends):
-                found += pairs(whole.iloc[a:b])
+            bucket, part = whole["bucket"].to_numpy(), whole["part"].to_numpy()
+            ends = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+            found = [p for a, b in zip([0, *ends], ends) for p in pairs(whole.iloc[a:b])]
             held = [whole.iloc[ends[-1] if len(ends) else 0 :]]
-            yield pd.DataFrame(found, columns=["a", "b", "apart"])
-            found = []
+            yield pd.DataFrame(found, columns=names)
         if held:
-            yield pd.DataFrame(pairs(pd.concat(held)), columns=["a", "b", "apart"])
+            yield pd.DataFrame(pairs(pd.concat(held)), columns=names)
 
-    return groups.mapInPandas(run, "a long, b long, apart long").distinct()
+    return groups.mapInPandas(run, "bucket long, d long, a long, b long, apart long")
 
 
-def blocks(members: DataFrame, light: DataFrame) -> DataFrame:
-    """Members of buckets that span components, dealt in pairs of blocks; a bucket that repeats another's members is left out."""
-    spread = (
-        members.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("_m"), F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.expr("bit_xor(xxhash64(doc))").alias("_x"), F.expr("sum(pmod(xxhash64(doc, 7), 1000000007))").alias("_y"))
+def spread(members: DataFrame) -> DataFrame:
+    """(bucket, doc, comp, row): members of buckets that span components; a bucket that repeats another's members is left out.
+
+    Members outside a bucket's largest component are rows, to be compared with all
+    members: within the largest component nothing is.
+    """
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_n"), F.expr("bit_xor(xxhash64(doc))").alias("_x"), F.expr("sum(pmod(xxhash64(doc, 7), 1000000007))").alias("_y"))
+    mixed = (
+        comps.groupBy("bucket")
+        .agg(F.sum("_n").alias("_m"), F.max(F.struct("_n", "comp")).alias("_top"), F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.expr("bit_xor(_x)").alias("_x"), F.sum("_y").alias("_y"))
         .filter("_c < _d")
         .groupBy("_m", "_x", "_y")
-        .agg(F.min("bucket").alias("bucket"))
-        .withColumn("_parts", F.expr(f"int(ceil(_m / {BLOCK}))"))
-        .select("bucket", "_parts")
+        .agg(F.min(F.struct("bucket", "_top")).alias("_b"))
+        .select("_b.bucket", F.col("_b._top.comp").alias("_major"))
     )
-    own = members.join(spread, "bucket").withColumn("_own", F.expr("int(pmod(xxhash64(doc, 11), _parts))"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    part = F.expr("least(_own, _other) * _parts + greatest(_own, _other)")
-    side = F.expr("CASE WHEN _own = _other THEN 2 WHEN _own < _other THEN 0 ELSE 1 END")
-    groups = dealt.select("bucket", part.alias("part"), side.alias("side"), "doc", "comp").join(light, "doc")
+    return members.join(mixed, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("_major")).alias("row"))
+
+
+def blocks(members: DataFrame, light: DataFrame) -> DataFrame:
+    """Rows and all members of each bucket as the two sides of a grid, cut into blocks; a part of the grid is one block of each."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.count_if("row").alias("_r")).filter("_r > 0")
+    sizes = sizes.select("bucket", F.expr(f"int(ceil(_m / {BLOCK}))").alias("_columns"), F.expr(f"int(ceil(_r / {BLOCK}))").alias("_rows"))
+    own = members.join(sizes, "bucket").withColumns({"_i": F.expr("int(pmod(xxhash64(doc, 13), _rows))"), "_j": F.expr("int(pmod(xxhash64(doc, 11), _columns))")})
+    places = (
+        "concat(transform(sequence(0, _rows - 1), i -> named_struct('part', i * _columns + _j, 'side', 1)), "
+        "CASE WHEN row THEN transform(sequence(0, _columns - 1), j -> named_struct('part', _i * _columns + j, 'side', 0)) ELSE array() END)"
+    )
+    groups = own.select("bucket", F.inline(F.expr(places)), "doc", "comp").join(light, "doc")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return groups.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
 
@@ -253,53 +265,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     component_id is the smallest document reachable over links of similarity 0.75 or
     more, kept whether that is the document itself. Null, empty and wordless texts
-    are linked with nothing. doc_id is a unique integer; other columns don't matter.
+    are linked with nothing. doc_id is an integer; rows that share one must be equal
+    and are kept or not together. Rows without one are linked with nothing and kept.
+    Other columns don't matter.
     """
+    nameless = docs.filter(F.col(doc_id).isNull()).select(F.lit(0).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.filter(F.col(doc_id).isNotNull())
     all_docs = stored(describe(docs, doc_id, text), "described")
     classes = all_docs.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("_copies"))
     classes = stored(classes, "classes")
     # Copies of a set have its bands too; only the smallest document's go on.
-    reps = all_docs.join(classes.select("doc"), "doc", "left_semi")
+    reps = all_docs.join(classes.select("doc", "fp"), ["doc", "fp"], "left_semi")
     banded = reps.select("doc", F.posexplode("bands").alias("_k", "_v")).select("doc", F.expr("xxhash64(_k, _v)").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.min("doc").alias("centre")).filter("_m > 1")
+    shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("_last")).filter("centre < _last")
     members = stored(banded.join(shared, "bucket").select("bucket", "doc", "centre"), "members")
 
-    light = all_docs.select("doc", "n", "sketch")
+    light = reps.select("doc", "n", "sketch")
     tested = first_round(members, light, docs, doc_id, text)
     links = tested.filter("linked")
     comps = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    known = members.select("bucket", "doc")
-
-    best = True
-    for _ in range(MOST_ROUNDS):
-        placed = known.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        found = kernel(blocks(placed, light), best).join(tested, ["a", "b"], "left_anti")
-        if best:
-            # Of the partners that a member has in several blocks and buckets, the nearest.
-            nearest = found.select(F.explode(F.array("a", "b")).alias("_d"), "a", "b", "apart").groupBy("_d").agg(F.min(F.struct("apart", "a", "b")).alias("p"))
-            found = nearest.select("p.a", "p.b").distinct()
-        found = stored(found.select("a", "b"), "candidates")
-        if found.isEmpty():
-            if not best:
-                break
-            best = False
-            continue
-        more = tests(found, docs, doc_id, text)
-        tested = stored(tested.union(more), "tested")
-        merged = more.filter("linked")
-        if merged.isEmpty():
-            if not best:
-                break
-            best = False
-            continue
+    placed = lambda m: m.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+
+    residue = stored(spread(placed(members.select("bucket", "doc"))), "residue")
+    nearest = stored(kernel(blocks(residue, light), True), "nearest")
+    # Of the partners that a row has in several parts and buckets, the nearest.
+    pairs = nearest.groupBy("d").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    if not pairs.isEmpty():
+        tested = stored(tested.union(tests(pairs, docs, doc_id, text)), "tested")
+        comps = components(tested.filter("linked"))
+    # Rows that had no partner have none now, and buckets without other rows have nothing left.
+    live = nearest.select("bucket", F.col("d").alias("doc")).distinct().withColumn("row", F.lit(True))
+    left = residue.select("bucket", "doc").join(live.select("bucket").distinct(), "bucket", "left_semi")
+    left = placed(left.join(live, ["bucket", "doc"], "left").withColumn("row", F.coalesce("row", F.lit(False))))
+    pairs = kernel(blocks(left, light), False).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    if not pairs.isEmpty():
+        tested = stored(tested.union(tests(pairs, docs, doc_id, text)), "tested")
         comps = components(tested.filter("linked"))
-    else:
-        raise RuntimeError("rounds did not settle")
 
     of = classes.join(comps.toDF("doc", "_root"), "doc", "left").select("fp", F.coalesce("_root", "doc").alias("component_id"))
     joined = all_docs.select("doc", "n", "fp").join(of, "fp", "left")
     component = F.coalesce("component_id", "doc")
-    return joined.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc")).alias("kept"))
+    found = joined.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc")).alias("kept"))
+    if nameless.isEmpty():
+        return found
+    none = F.lit(None).cast("long")
+    return found.unionByName(describe(nameless, "doc", "text").select(none.alias(doc_id), F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(True).alias("kept")))
 
 
 def first_round(members: DataFrame, light: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
