@@ -15,8 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words whose ids a worker keeps (some 200 MB); beyond, it starts anew.
-CACHE = 1 << 20
+#: Words whose ids a worker keeps (some 100 MB); beyond, it starts anew.
+CACHE = 1 << 19
 #: Where an ASCII letter ends before a visible ASCII character that is none.
 CUT = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])")
 #: Lower-case Latin words, which neither the normalizer nor the pre-tokenizer changes.

@@ -35,7 +35,7 @@ LEAST_DOCS, LEAST_RATIO = 6, 6.0
 #: A stem is an entry if it has so many endings.
 LEAST_ENDINGS = 12
 STEM = range(4, 9)
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 GIVEN = {
