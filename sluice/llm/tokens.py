@@ -11,12 +11,11 @@ a special token are cut at white space alone.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable
 
-import numpy as np
-
-#: Words whose ids a worker keeps (some 100 MB); beyond, it starts anew.
-CACHE = 1 << 19
+#: Words whose ids a worker keeps (some 100 MB); beyond, it drops all but the first KEPT, among which the frequent ones are.
+CACHE, KEPT = 1 << 19, 1 << 18
 #: Where an ASCII letter ends before a visible ASCII character that is none.
 CUT = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])")
 #: Lower-case Latin words, which neither the normalizer nor the pre-tokenizer changes.
@@ -50,7 +49,7 @@ class Known(dict):
             ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        value = self[word] = np.asarray(ids, "<u4").tobytes()
+        value = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return value
 
 
@@ -63,7 +62,8 @@ class Encoder:
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """Null texts have no ids."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            for word in list(self.known)[KEPT:]:
+                del self.known[word]
         known = self.known.__getitem__
         return [b"".join(map(known, words_of(text))) for text in texts]
 
