@@ -69,6 +69,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers live on, idle or in other tasks, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no such allocator here
+        pass
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems, whatever its scheme."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stored
+from sluice.llm.common import give_back, stored
 from sluice.llm.components import components, roots
 
 SHINGLE = 5
@@ -149,6 +149,8 @@ def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n", "fp", "bands", "sketch"])
             out.insert(0, "doc", batch[doc_id].to_numpy())
             yield out
+        del hashes
+        give_back()
 
     return docs.select(doc_id, text).mapInPandas(run, "doc long, n long, fp binary, bands array<long>, sketch binary")
 
@@ -160,6 +162,8 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataF
         hashes = WordHashes()
         for batch in batches:
             yield pd.DataFrame({"doc": batch["doc"], "own": [x.tobytes() for x in shingle_sets(batch["text"], hashes)]})
+        del hashes
+        give_back()
 
     some = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
     return some.mapInPandas(run, "doc long, own binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import rans
-from sluice.llm.common import NO_ID, file_system, get_range, id_or_none, new_folder, put_file, stored
+from sluice.llm.common import NO_ID, file_system, get_range, give_back, id_or_none, new_folder, put_file, stored
 from sluice.llm.tokens import encoder, tokenizer_path
 
 MAGIC = b"SLUICER1"
@@ -41,6 +41,7 @@ def tokenized(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text
         for batch in batches:
             ids = [np.frombuffer(x + last, "<u4") for x in own.ids(batch["text"])]
             yield pd.DataFrame({"doc": batch["doc"], "n": [len(x) for x in ids], "ids": [x.astype(width).tobytes() for x in ids]})
+        give_back()
 
     own = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("doc"), F.col(text).alias("text"))
     return own.mapInPandas(run, "doc long, n long, ids binary")

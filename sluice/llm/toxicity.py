@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import held_out, labelled_sample, logistic
+from sluice.llm.common import give_back, held_out, labelled_sample, logistic
 
 #: Most labelled documents that the lexicon and the weights are learned from.
 SAMPLE = 6000
@@ -232,6 +232,8 @@ def scorer(model: Model) -> Callable[[Column], Column]:
         reader = Reader(model.lexicon)
         for texts in batches:
             yield pd.Series(model.scores(reader, texts))
+        del reader
+        give_back()
 
     return run
 
