@@ -87,8 +87,18 @@ def yaml_round_trip(spark, sf_dir):
 
 @query("text_lines", "SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE doc_id < 50 AND text <> ''")
 def text_lines(spark, sf_dir):
+    return lines_of(spark, table(spark, sf_dir, "documents").filter("doc_id < 50 AND text <> ''"))
+
+
+@query("text_lines_all", "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS value FROM documents")
+def text_lines_all(spark, sf_dir):
+    """All documents through the text writer and reader; text_lines keeps the id subset of its SQL."""
+    return lines_of(spark, table(spark, sf_dir, "documents"))
+
+
+def lines_of(spark, docs):
     path = scratch(spark, "text")
-    writers.text(table(spark, sf_dir, "documents").filter("doc_id < 50 AND text <> ''"), path, value="text")
+    writers.text(docs, path, value="text")
     return files.text(spark, path).select("value")
 
 

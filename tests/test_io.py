@@ -129,3 +129,12 @@ def test_both_csv_parsers_agree(spark, tmp_path):
         files.csv(spark, str(tmp_path / "t.csv")).df.collect()
     (tmp_path / "e.csv").write_text("")
     assert files.csv(spark, str(tmp_path / "e.csv"), files.CsvOptions(schema=["a", "b"], header=False)).df.count() == 0
+
+
+def test_text_lines_of_all_documents(spark, tmp_path):
+    from sluice.plans.catalogue import QUERIES
+
+    texts = {0: "a\nb", 49: "", 50: "c", 51: None, 10**6: "d\n\ne\n"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["value"] for r in QUERIES["text_lines_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(line for t in texts.values() for line in (t or "").split("\n"))
