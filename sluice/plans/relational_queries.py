@@ -75,7 +75,18 @@ def join_full(spark, sf_dir):
 @query("join_composite", "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus WHERE a.o_orderkey < b.o_orderkey AND a.o_orderkey < 500")
 def join_composite(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    a, b = o.filter("o_orderkey < 500").toDF("a_key", "a_cust", "a_status"), o.toDF("b_key", "b_cust", "b_status")
+    return order_pairs(o.filter("o_orderkey < 500"), o)
+
+
+@query("join_composite_all", "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus WHERE a.o_orderkey < b.o_orderkey")
+def join_composite_all(spark, sf_dir):
+    """All of orders with itself; join_composite keeps the key cap of its SQL."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return order_pairs(o, o)
+
+
+def order_pairs(a, b):
+    a, b = a.toDF("a_key", "a_cust", "a_status"), b.toDF("b_key", "b_cust", "b_status")
     return R.join(a, b, ["a_cust", "a_status"], ["b_cust", "b_status"]).filter("a_key < b_key").select("a_key", "b_key")
 
 

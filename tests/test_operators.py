@@ -134,3 +134,12 @@ def test_parallel(ten):
 def test_positions_plan_has_no_single_partition_step(ten):
     plan = O.positions(ten, ["k"], buckets=3)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_composite_join_of_all_orders(spark, tmp_path):
+    from sluice.plans.catalogue import QUERIES
+
+    rows = [(1, 1, "O"), (499, 1, "F"), (500, 1, "O"), (501, 1, "O"), (502, 2, "O"), (503, 1, None), (504, 1, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r["a_key"], r["b_key"]) for r in QUERIES["join_composite_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 500), (1, 501), (500, 501)}
