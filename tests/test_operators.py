@@ -143,3 +143,18 @@ def test_composite_join_of_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     got = {(r["a_key"], r["b_key"]) for r in QUERIES["join_composite_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, 500), (1, 501), (500, 501)}
+
+
+def test_outer_joins_of_whole_tables(spark, tmp_path):
+    from sluice.plans.catalogue import QUERIES
+
+    put = lambda name, rows, ddl: spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("customer", [(1,), (100,), (2,)], "c_custkey long")
+    put("orders", [(1, 1, "O"), (201, 100, "F"), (203, 100, None), (250, 7, "P")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    put("supplier", [(1,), (3,), (100,)], "s_suppkey long")
+    got = lambda name: sorted((tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    pairs = [(1, 1), (100, 201), (100, 203), (2, None)]
+    assert got("join_left_all") == sorted([(1, 1, "O"), (100, 201, "F"), (100, 203, "-"), (2, None, "-")], key=repr)
+    assert got("join_right_all") == sorted(pairs, key=repr)
+    assert got("join_full_all") == sorted([(1, 1), (100, 100), (2, None), (None, 3)], key=repr)
+    assert got("null_handling_all") == sorted([(1, False, "O", "xO", False), (100, False, "F", "xF", False), (100, False, "none", "x", True), (2, True, "none", "x", True)], key=repr)
