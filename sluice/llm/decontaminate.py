@@ -87,7 +87,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         on = (F.col("_at") == F.col("_word")) & F.expr(f"_window IS NULL OR ({bounds} AND {equal})")
         found = placed.join(F.broadcast(filed), on)
     else:
-        found = by_shuffle(words, placed, filed, equal)
+        found = by_shuffle(words, filed, equal)
     found = found.select("_doc", "_pos", (F.col("_pos") - F.col("_off")).alias("s"), (F.col("_pos") - F.col("_off") + F.size("_window")).alias("e"), "_items")
     per_doc = found.groupBy("_doc").agg(
         F.max(F.expr("CASE WHEN _items IS NULL THEN _pos END")).cast("long").alias("n_words"),
@@ -106,12 +106,20 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     )
 
 
-def by_shuffle(words: DataFrame, placed: DataFrame, filed: DataFrame, equal: str) -> DataFrame:
-    """The same rows where the entries are too large to broadcast: candidates first, then the words of the documents that have any."""
-    places = placed.select("_doc", "_pos", "_at", F.size("_w").alias("_size"))
+def by_shuffle(words: DataFrame, filed: DataFrame, equal: str) -> DataFrame:
+    """The same rows where the entries are too large to broadcast: candidates first, then the words of the documents that have any.
+
+    Ids are compared null-safely. A hash of the words goes with them, so rows that share
+    an id, or have none, meet only rows of the same words, and are no hot key.
+    """
+    keyed = words.withColumn("_key", F.xxhash64("_w"))
+    places = keyed.select("_doc", "_key", F.size("_w").alias("_size"), F.posexplode(F.array_append("_w", F.lit(""))).alias("_pos", "_at"))
     fits = "_window IS NULL OR (_pos >= _off AND _pos - _off + size(_window) <= _size)"
     candidates = places.join(filed, (F.col("_at") == F.col("_word")) & F.expr(fits))
-    return candidates.join(words, "_doc").filter(f"_window IS NULL OR {equal}")
+    # Equal rows have the same candidates: once is enough, and k of them are not k x k rows.
+    candidates = candidates.select("_doc", "_key", "_pos", "_off", "_window", "_items").distinct()
+    own = keyed.select(F.col("_doc").alias("_own"), F.col("_key").alias("_own_key"), "_w")
+    return candidates.join(own, F.expr("_doc <=> _own AND _key = _own_key")).filter(f"_window IS NULL OR {equal}")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

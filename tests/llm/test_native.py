@@ -176,6 +176,19 @@ def test_contamination(spark, monkeypatch, small):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_contamination_without_ids(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    item = "one two three four five six seven eight nine ten"
+    ids = [None, None, None, 1, 2, 2]
+    docs = documents(spark, ["clean words", f"x {item} y", f"x {item} y", "clean", "short", f"{item} z"], ids=ids)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 12, 10, 1, True), (1, 1, 0, 0, False), (2, 11, 10, 1, True)], key=repr)
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()] == [1]
+
+
 def test_native_operators_run_no_python(spark):
     docs = documents(spark, ["a b"])
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
