@@ -6,7 +6,9 @@ and is dropped from every page of it.
 
 A site has few such lines however large it is: the ratios of its lines add up to
 its mean number of distinct lines, so at most that mean over the ratio exceed it.
-They therefore travel as one array per site. Texts never shuffle on the broadcast
+They therefore travel as one array per site. Long lines can have a lower ratio of
+their own (long_ratio); it is off unless given, since every copy of a line goes, the
+last one too: README has the figures. Texts never shuffle on the broadcast
 path; counting moves distinct lines, summed before they move, so a site with a
 third of all pages is no hot key.
 """
@@ -20,6 +22,8 @@ from sluice.llm.common import stored
 
 #: Production parameters: the share of a site's pages above which a line is boilerplate, and the least pages that it must be on.
 RATIO, LEAST_PAGES = 0.01, 5
+#: Lines of so many words can have a ratio of their own, and then go from so many pages on.
+LONG_WORDS, LONG_PAGES = 50, 2
 #: The boilerplate table is broadcast up to so many bytes of lines; beyond, it is joined by shuffled, salted keys.
 BROADCAST_BYTES = 64 << 20
 SALTS = 64
@@ -30,8 +34,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.parse_url(url, F.lit("HOST")))
 
 
-def boilerplate(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """_site, _lines: the sorted boilerplate lines of each site that has any. Lines compare without the blanks around them; blank lines never count."""
+def boilerplate(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, long_ratio: float | None = None) -> DataFrame:
+    """_site, _lines: the sorted boilerplate lines of each site that has any. Lines compare without the blanks around them; blank lines never count.
+
+    With long_ratio, lines of LONG_WORDS words are boilerplate above that ratio too, from LONG_PAGES pages on.
+    """
+    frequent, often = F.col("_n") >= least_pages, F.col("_n") > F.col("_pages") * ratio
+    above = frequent & often
+    if long_ratio is not None:
+        long = F.size(F.array_remove(F.split("_line", " "), "")) >= LONG_WORDS
+        frequent = frequent | ((F.col("_n") >= LONG_PAGES) & long)
+        above = above | ((F.col("_n") >= LONG_PAGES) & (F.col("_n") > F.col("_pages") * long_ratio) & long)
     lines = docs.select(F.coalesce(site, F.lit("")).alias("_site"), F.array_distinct(trimmed(F.col(text))).alias("_lines"))
     pages = lines.groupBy("_site").agg(F.count(F.lit(1)).alias("_pages"))
     counts = (
@@ -39,11 +52,11 @@ def boilerplate(docs: DataFrame, site: Column, text: str = "text", ratio: float
         .filter("_line <> ''")
         .groupBy("_site", "_line")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= least_pages)
+        .filter(frequent)
     )
     return (
         counts.join(pages, "_site")
-        .filter(F.col("_n") > F.col("_pages") * ratio)
+        .filter(above)
         .groupBy("_site")
         .agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
     )
@@ -53,14 +66,14 @@ def trimmed(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
 
 
-def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, long_ratio: float | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines, n_dropped (long).
 
     Null and empty texts stay as they are, with n_lines 0 for null. A null site is a
     site of its own. Rows keep their number and other columns; columns of docs named
     n_lines or n_dropped give way.
     """
-    found = stored(boilerplate(docs, site, text, ratio, least_pages).withColumnRenamed("_lines", "_drop"), "boilerplate")
+    found = stored(boilerplate(docs, site, text, ratio, least_pages, long_ratio).withColumnRenamed("_lines", "_drop"), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.expr("aggregate(_drop, 0L, (a, x) -> a + octet_length(x) + 16) + octet_length(_site)")), F.lit(0)).alias("n")).first()["n"]
     # The row goes along as one column, so its names can't clash with those used here.
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(site, F.lit("")).alias("_site"), F.col(text).alias("_text"))

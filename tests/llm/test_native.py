@@ -129,6 +129,20 @@ def test_line_dedup(spark, monkeypatch, small):
     assert spark.createDataFrame([("http://A.b/c?d",)], "u string").select(line_dedup.host_of(F.col("u")).alias("h")).first()["h"] == "a.b"
 
 
+def test_long_lines_of_a_hot_and_a_small_site(spark):
+    planted = " ".join(f"word{k}" for k in range(50))
+    other, short = planted.replace("word", "term"), planted.rpartition(" ")[0]
+    # The hot site has 2000 pages, the small one 3; the planted line is on 4 and on 2 of them, the other on 2 hot pages.
+    hot = [f"own {k}" + f"\n{planted} " * (k < 4) + f"\n{other}" * (k in (4, 5)) + f"\n{short}" * (k < 4) for k in range(2000)]
+    small = [f"own\n{planted}\n{short}", f"\t{planted}\nyes\n{short}", other]
+    docs = documents(spark, hot + small, source=["hot"] * len(hot) + ["small"] * len(small))
+    dropped = lambda **o: {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs, F.col("source"), **o).collect() if r["n_dropped"]}
+    both = {0: 1, 1: 1, 2: 1, 3: 1, 2000: 1, 2001: 1}
+    assert dropped(long_ratio=0.0015) == both
+    assert dropped(long_ratio=0.0005) == {**both, 4: 1, 5: 1}
+    assert dropped() == {}  # the rule of the query's SQL: 1 % and 5 pages
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
