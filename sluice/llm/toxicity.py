@@ -10,7 +10,8 @@ document's clauses into a probability.
 
 Insults and their weights are learned: words, and stems with many endings, that
 separate the toxic from the other documents of a bounded labelled sample. The
-words of the other classes are given.
+words of the other classes are given. Texts are split by the same pattern in
+learning and in scoring, so markup, slashes and dashes hide no word.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,8 @@ LEAST_DOCS, LEAST_RATIO = 6, 6.0
 #: A stem is an entry if it has so many endings.
 LEAST_ENDINGS = 12
 STEM = range(4, 9)
-CACHE = 1 << 18
+#: Most tokens that a reader remembers, and the longest of them.
+CACHE, LONGEST = 1 << 18, 64
 
 NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 GIVEN = {
@@ -45,7 +48,8 @@ GIVEN = {
     REPORT: "said says say told quote quoted quotes called wrote writes claimed reported according sagte sagt zitiert dit disait écrit cité dijo dice escribió",
 }
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-END = re.compile(r"[.!?;]\W*$")
+#: A mark between words that ends a clause; one before a digit is part of a number.
+END = re.compile(r"[.!?;](?![\d_])")
 
 
 @dataclass(frozen=True)
@@ -151,34 +155,43 @@ def learned(sample: Iterable[tuple[int, str, int]]) -> Lexicon:
 
 
 class Reader(dict):
-    """word as written -> (class, weight, whether it ends a clause)."""
+    """token between blanks -> (class, weight, whether a clause ends before it, and after it) for each of its words. A token without words is one neutral word."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.table = lexicon, composed()
 
-    def __missing__(self, token: str) -> tuple[int, float, bool]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = WORD.search(token)
-        kind, weight = self.lexicon.look(found[0]) if found else (NEUTRAL, 0.0)
-        value = self[token] = (kind, weight, bool(END.search(token)))
+    def __missing__(self, token: str) -> tuple[tuple[int, float, bool, bool], ...]:
+        found = WORD.findall(token)
+        ends = [END.search(x) is not None for x in WORD.split(token)]
+        if found:
+            # The mark between two words of a token ends the clause of the first.
+            value = tuple((*self.lexicon.look(w), k == 0 and ends[0], ends[k + 1]) for k, w in enumerate(found))
+        else:
+            value = ((NEUTRAL, 0.0, False, ends[0]),)
+        if len(token) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[token] = value
         return value
 
     def clauses(self, text: str | None) -> tuple[list[float], int]:
         """(weights of the matched clauses, number of words)."""
         tokens = text.lower().split() if text else []
-        read = list(map(self.__getitem__, tokens))
+        read = list(chain.from_iterable(map(self.__getitem__, tokens)))
         hits = [i for i, x in enumerate(read) if x[0] in (INSULT, THREAT)]
         out, done = [], -1
         for i in hits:
             if i <= done:
                 continue
             start = i
-            while start > done + 1 and not read[start - 1][2]:
+            while start > done + 1 and not read[start][2] and not read[start - 1][3]:
                 start -= 1
             state, total, at = 0, 0.0, start
             while at < len(read):
-                kind, weight, end = read[at]
+                kind, weight, before, end = read[at]
+                if before and at > start:
+                    at -= 1
+                    break
                 state, factor, threats = self.table[state][kind]
                 total += weight * factor + threats if kind == INSULT else threats
                 if end:
@@ -187,7 +200,7 @@ class Reader(dict):
             done = at
             if total > 0:
                 out.append(total)
-        return out, len(tokens)
+        return out, len(read)
 
     def features(self, text: str | None) -> list[float]:
         own, n = self.clauses(text)

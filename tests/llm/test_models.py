@@ -63,6 +63,20 @@ def test_grammar():
     assert len(reader.clauses("moron. moron! fine. moron")[0]) == 3
 
 
+def test_every_word_of_a_token_is_read():
+    reader = toxicity.Reader(toxicity.Lexicon({"idiot": 2.0}, {}))
+    weight = lambda t: sum(reader.clauses(t)[0])
+    for t in ("some/idiot", "well...idiot", "<b>idiot", "stupid-idiot", "<b>some</b>idiot", "...idiot", "x" * 100 + "/idiot"):
+        assert weight(t) == 2.0, t
+    # Marks between words end clauses inside a token, before it and after it; those of numbers don't.
+    assert weight("you.idiot") == weight("you ...idiot") == weight("you. idiot") == 2.0
+    assert weight("you/idiot") == weight("you 3.5 idiot") == weight("you idiot") > 2.0
+    assert weight("not-an-idiot") == weight("not an idiot") < 2.0
+    assert len(reader.clauses("idiot.idiot!idiot")[0]) == 3 and len(reader.clauses("an idiot ...an idiot")[0]) == 2
+    text = "a/b <i>c</i> d-e.f 12 -- g's'h"
+    assert reader.clauses(text)[1] == len(toxicity.WORD.findall(text)) + 2
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     letters = list("etaoinshrdlu")
