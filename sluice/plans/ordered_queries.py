@@ -59,6 +59,13 @@ def flatten_separator(spark, sf_dir):
     return P.flatten(docs, "lines", F.lit("--"), keep=("doc_id",))
 
 
+@query("flatten_separator_all", """SELECT doc_id, i - 1 AS index, l[i] AS item FROM (SELECT doc_id, list_append(CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END, '--') AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
+def flatten_separator_all(spark, sf_dir):
+    """All texts split; flatten_separator and to_lines keep the subsets of their SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    return P.flatten(docs, "lines", F.lit("--"), keep=("doc_id",))
+
+
 @query("append_prepend", "SELECT r_regionkey, r_name, 1 AS side FROM region UNION ALL SELECT 98, 'LAST', 2 UNION ALL SELECT 99, 'FIRST', 0")
 def append_prepend(spark, sf_dir):
     region = table(spark, sf_dir, "region")
@@ -72,7 +79,18 @@ def append_prepend(spark, sf_dir):
   SELECT *, cast(sum(cast(w = 'the' AS INT)) OVER (PARTITION BY doc_id ORDER BY p) - cast(w = 'the' AS INT) AS BIGINT) AS g FROM (
     SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents WHERE lang = 'en')) GROUP BY doc_id, g HAVING bool_or(w = 'the')""")
 def to_lines(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
+    return lines_by_the(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+@query("to_lines_all", """SELECT doc_id, g AS line_no, coalesce(string_agg(w, '' ORDER BY p) FILTER (w <> 'the'), '') AS line FROM (
+  SELECT *, cast(sum(cast(w = 'the' AS INT)) OVER (PARTITION BY doc_id ORDER BY p) - cast(w = 'the' AS INT) AS BIGINT) AS g FROM (
+    SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents)) GROUP BY doc_id, g HAVING bool_or(w = 'the')""")
+def to_lines_all(spark, sf_dir):
+    return lines_by_the(table(spark, sf_dir, "documents"))
+
+
+def lines_by_the(docs):
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
     return P.to_lines(words, "w", "the", ["p"], ("doc_id",))
 
 

@@ -87,3 +87,22 @@ def test_bind(spark):
     assert B.bind_ordered(spark.createDataFrame([("1", "2")], "x string, y string"), ordered).first().asDict() == {"b": 2, "a": 1}
     fed = B.feed(spark.createDataFrame([(1, "q")], "user_id int, name string"), {"UserId": F.lit(5)})
     assert fed.first()["user_id"] == 5
+
+
+def test_queries_of_all_texts(spark, tmp_path):
+    from sluice.plans.catalogue import QUERIES
+
+    texts = ["", "T.", "Tabcd", "abcdefg", "abcdefgh", "Of the long ones.", "x the y"]
+    rows = [(7 * k, t, "de" if k % 2 else "en") for k, t in enumerate(texts)] + [(1, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r for r in run("string_helpers_all")}
+    assert len(got) == len(rows)
+    for k, t in enumerate(texts):
+        r = got[7 * k]
+        assert (r["replaced"], r["part"], r["last"]) == (t[:4] + "##" + t[5:], t[2:7] if len(t) > 7 else None, len(t) - 1 if t else None)
+        assert r["between"] == (t.startswith("T") and t.endswith("."))
+    # A null text has no lines, but its separator; all others are split, those of ids that 7 divides too.
+    want = [(7 * k, i, x) for k, t in enumerate(texts) for i, x in enumerate([*t.split("\n"), "--"])] + [(1, 0, "--")]
+    assert sorted((r["doc_id"], r["index"], r["item"]) for r in run("flatten_separator_all")) == sorted(want)
+    assert sorted((r["doc_id"], r["line"]) for r in run("to_lines_all")) == [(35, "Of"), (42, "x")]
