@@ -383,8 +383,9 @@ def json_text(spark: SparkSession, content: str, options: JsonOptions) -> Result
 def json_of(raw: DataFrame, options: JsonOptions, reader: str = "Json") -> Result:
     schema = options.schema
     if schema is None:
-        sample = raw.filter("_value IS NOT NULL").select("_value").limit(1000)
-        schema = raw.sparkSession.read.json(sample.rdd.map(lambda r: r[0])).schema
+        # All values are read, so a property that comes late is in the schema too.
+        values = raw.filter("_value IS NOT NULL").select("_value")
+        schema = raw.sparkSession.read.json(values.rdd.map(lambda r: r[0])).schema
     # Property names match in any case; the text that can't be bound is a fault.
     bound = F.from_json("_value", T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = raw.withColumn("_v", bound)

@@ -138,3 +138,10 @@ def test_text_lines_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r["value"] for r in QUERIES["text_lines_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(line for t in texts.values() for line in (t or "").split("\n"))
+
+
+def test_json_schema_of_all_values(spark):
+    content = "[" + '{"a": 1}, ' * 1500 + '{"a": 2.5, "late": "x"}]'
+    df = files.json_text(spark, content, files.JsonOptions()).df
+    assert set(df.columns) >= {"a", "late"} and df.count() == 1501
+    assert [(r["a"], r["late"]) for r in df.filter("late IS NOT NULL").collect()] == [(2.5, "x")]
