@@ -66,7 +66,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that stored() wrote and that no later step reads."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.pop("stored_at", None)):
+            drop_folder(t.sparkSession, path)
+
+
+def clean_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that are done: it does so once the driver's JVM finds that nothing refers to them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Tables are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, size: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if the bytes that the SQL expression counts for each row stay within bounds; else Spark joins by shuffle."""
+    n = df.agg(F.coalesce(F.sum(F.expr(size)), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= most else df
 
 
 def give_back() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stored
+from sluice.llm.common import discard, stored
 
 MOST_ROUNDS = 64
 
@@ -15,11 +15,14 @@ def roots(parents: DataFrame) -> DataFrame:
     now = stored(parents, "forest")
     for _ in range(MOST_ROUNDS):
         up = now.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        now = stored(now.join(up, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved")), "forest")
+        before = now
+        now = stored(now.select("node", "parent").join(up, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved")), "forest")
+        discard(before)
         if now.filter("_moved").isEmpty():
             break
-        now = now.drop("_moved")
-    return now.select("node", F.col("parent").alias("root"))
+    out = now.select("node", F.col("parent").alias("root"))
+    out.stored_at = now.stored_at
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,12 +38,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(left.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "labels")
     for _ in range(MOST_ROUNDS):
         if left.isEmpty():
+            discard(left)
             return labels
         forest = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).filter("parent < node")
-        to = roots(forest).toDF("_from", "_to")
+        trees = roots(forest)
+        to = trees.toDF("_from", "_to")
+        before, edges = labels, left
         labels = stored(labels.join(to, labels["root"] == to["_from"], "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
         a, b = to.toDF("a", "_a"), to.toDF("b", "_b")
         left = stored(
             left.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct(), "edges"
         )
+        discard(before, edges, trees)
     raise RuntimeError("components did not settle")

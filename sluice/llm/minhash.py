@@ -15,13 +15,16 @@ Buckets are never expanded into pairs:
 2. Buckets whose members still lie in several components go, cut into blocks, to
    a kernel that compares bitmaps in arrays: members outside the bucket's largest
    component with all others. For each it puts out the nearest partner of another
-   component. Confirmed ones merge; this repeats while it merges anything.
+   component, once; confirmed ones merge.
 3. Then every untested pair between components that the bitmaps admit is tested,
    for the members that had a partner at all. Large components with a link have
    merged by their nearest pairs, so few pairs are left.
 
 So no link between members of a bucket is lost, and pairs inside a component,
-which could not change the result, are never made.
+which could not change the result, are never made. To confirm pairs, the document
+with more pairs of the two is the hub and the other's set travels to it; a hub of
+many pairs has several places, so no task gets a whole group of near copies.
+Tables that no later step reads are deleted on the way.
 """
 
 from __future__ import annotations
@@ -33,19 +36,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import give_back, stored
+from sluice.llm.common import broadcast_if_small, clean_shuffles, discard, give_back, stored
 from sluice.llm.components import components, roots
 
 SHINGLE = 5
 #: Similarity from which documents are linked, as a percentage.
 PERCENT = 75
-#: A pair at 0.75 misses all of 40 bands of 4 values with a probability of 2.5e-7.
-BANDS, ROWS = 40, 4
+#: A pair at 0.75 misses all of 48 bands of 5 values with a probability of 2.3e-6, one at 0.8 with 5e-9; one at 0.3 shares a band with 0.11.
+BANDS, ROWS = 48, 5
 #: MinHash samples of an odd sketch (the smallest values of the set; smaller sets go in whole) and its bits.
 SAMPLES, BITS = 512, 2048
-#: Standard errors of sampling by which a pair of larger sets must miss 0.75 to be ruled out.
-MARGIN = 5
-#: Most members of a block in the kernel.
+#: Standard deviations of sampling by which a pair of sets above SAMPLES must miss 0.75 to be ruled out: the hypergeometric tail there is below 1e-20.
+MARGIN = 12
+#: Most members of a block in the kernel, and pairs of a hub that are confirmed in one place.
 BLOCK = 1024
 #: Words whose hashes a worker keeps.
 CACHE = 1 << 18
@@ -94,12 +97,13 @@ def shingle_sets(texts, hashes: WordHashes) -> list[np.ndarray]:
 
 
 def signature(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """MinHash values of a set under each seed: multiply-shift of well mixed hashes, in blocks that stay in cache."""
-    low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 256):
-        block = own[at : at + 256, None] * seeds
+    """MinHash values of a set under each seed: multiply-shift of the upper halves of well mixed hashes, in blocks that stay in cache."""
+    high, by = (own >> np.uint64(32)).astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    low = np.full(len(seeds), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), 256):
+        block = high[at : at + 256, None] * by
         np.minimum(low, block.min(axis=0), out=low)
-    return low
+    return low.astype(np.uint64)
 
 
 def seeds() -> np.ndarray:
@@ -125,8 +129,9 @@ def admitted(na, nb, apart) -> np.ndarray:
     common = share * (na + nb) * rate
     taken = np.minimum(na, SAMPLES) + np.minimum(nb, SAMPLES)
     p = np.clip(common / np.minimum(high, SAMPLES), 0, 1)
-    sampling = np.where(rate < 1, 2.4 * np.sqrt(SAMPLES * p * (1 - p)) + 2, 0)
-    toggles = taken - 2 * common + MARGIN * sampling
+    # Each sample that is not common after all is two bits, one in either sketch.
+    sampling = np.where(rate < 1, MARGIN * np.sqrt(SAMPLES * p * (1 - p)) + 10, 0)
+    toggles = taken - 2 * common + sampling
     return (100 * low >= PERCENT * high) & (apart <= toggles)
 
 
@@ -155,40 +160,83 @@ def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(doc_id, text).mapInPandas(run, "doc long, n long, fp binary, bands array<long>, sketch binary")
 
 
-def sets_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(doc, own): the full sets of the wanted documents, hashes as little-endian bytes."""
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(both) - common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "own": [x.tobytes() for x in shingle_sets(batch["text"], hashes)]})
-        del hashes
-        give_back()
 
-    some = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
-    return some.mapInPandas(run, "doc long, own binary")
+def routes(pairs: DataFrame) -> DataFrame:
+    """doc, hubs, places, n: for each document of the pairs the hubs that its set travels to, the place at each, and its own number of places.
+
+    Of a pair, the document with more pairs is the hub. So a document travels to at most
+    the square root of twice the number of pairs.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    sided = pairs.join(ends.toDF("a", "_na"), "a").join(ends.toDF("b", "_nb"), "b")
+    first = F.col("_na") >= F.col("_nb")
+    hubs = sided.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"),
+        F.expr(f"int(ceil(greatest(_na, _nb) / {BLOCK}))").alias("n"),
+    )
+    spokes = hubs.select(F.col("spoke").alias("doc"), F.struct("hub", F.expr("int(pmod(xxhash64(spoke), n))").alias("place")).alias("at"), F.lit(0).alias("n"))
+    both = spokes.union(hubs.select(F.col("hub").alias("doc"), F.lit(None).cast("struct<hub:bigint,place:int>").alias("at"), "n"))
+    per_doc = both.groupBy("doc").agg(F.collect_list("at").alias("_at"), F.max("n").alias("n"))
+    return per_doc.select("doc", F.col("_at.hub").alias("hubs"), F.col("_at.place").alias("places"), "n")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def tests(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """pairs (a, b) with linked (boolean), decided on the full sets."""
+    import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            linked = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    linked.append(False)
+            # A few hundred texts at a time: their sets are larger than they are.
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                own = pa.array([x.tobytes() for x in shingle_sets(part.column("text").to_pylist(), hashes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "hubs", "places", "n")), own], names=["doc", "hubs", "places", "n", "own"])
+        del hashes
+        give_back()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub_sets = None, []
+        for batch in batches:
+            a, b, found = [], [], []
+            own = batch.column("own")
+            for k, (hub, place, spoke, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "place", "spoke", "doc")), strict=True)):
+                x = np.frombuffer(own[k].as_buffer(), np.uint64)
+                if (hub, place) != now:
+                    now, hub_sets = (hub, place), []
+                if not spoke:
+                    hub_sets.append(x.copy())
                     continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= PERCENT * (len(both) - common))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
+                a.append(min(hub, doc))
+                b.append(max(hub, doc))
+                found.append(any(linked(x, y) for y in hub_sets))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
+        give_back()
 
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInPandas(run, "a long, b long, linked boolean").distinct()
+    wanted = stored(routes(pairs), "routes")
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(broadcast_if_small(wanted, "24 + 16 * size(hubs)"), "doc")
+    own = texts.select("doc", "hubs", "places", "n", "text").mapInArrow(sets, "doc long, hubs array<long>, places array<int>, n int, own binary")
+    places = (
+        "concat(transform(arrays_zip(hubs, places), x -> named_struct('hub', x.hubs, 'place', x.places, 'spoke', true)), "
+        "CASE WHEN n > 0 THEN transform(sequence(0, n - 1), i -> named_struct('hub', doc, 'place', i, 'spoke', false)) ELSE array() END)"
+    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = own.select(F.inline(F.expr(places)), "doc", "own").repartition(parts, "hub", "place").sortWithinPartitions("hub", "place", "spoke")
+    found = met.select("hub", "place", "spoke", "doc", "own").mapInArrow(compare, "a long, b long, linked boolean")
+    # Rows that share an id are one document: any of their texts can link it.
+    done = stored(found.groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
+    discard(wanted)
+    clean_shuffles(docs.sparkSession)
+    return done
 
 
 def kernel(groups: DataFrame, best: bool) -> DataFrame:
@@ -247,14 +295,16 @@ def spread(members: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("bucket", "_top")).alias("_b"))
         .select("_b.bucket", F.col("_b._top.comp").alias("_major"))
     )
-    return members.join(mixed, "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("_major")).alias("row"))
+    # A sort-merge join, whose hot partitions adaptive execution splits.
+    return members.join(mixed.hint("merge"), "bucket").select("bucket", "doc", "comp", (F.col("comp") != F.col("_major")).alias("row"))
 
 
 def blocks(members: DataFrame, light: DataFrame) -> DataFrame:
     """Rows and all members of each bucket as the two sides of a grid, cut into blocks; a part of the grid is one block of each."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.count_if("row").alias("_r")).filter("_r > 0")
-    sizes = sizes.select("bucket", F.expr(f"int(ceil(_m / {BLOCK}))").alias("_columns"), F.expr(f"int(ceil(_r / {BLOCK}))").alias("_rows"))
-    own = members.join(sizes, "bucket").withColumns({"_i": F.expr("int(pmod(xxhash64(doc, 13), _rows))"), "_j": F.expr("int(pmod(xxhash64(doc, 11), _columns))")})
+    # Written first: adaptive execution splits a hot bucket only where an exchange is right below the join.
+    sizes = stored(sizes.select("bucket", F.expr(f"int(ceil(_m / {BLOCK}))").alias("_columns"), F.expr(f"int(ceil(_r / {BLOCK}))").alias("_rows")), "sizes")
+    own = members.join(sizes.hint("merge"), "bucket").withColumns({"_i": F.expr("int(pmod(xxhash64(doc, 13), _rows))"), "_j": F.expr("int(pmod(xxhash64(doc, 11), _columns))")})
     places = (
         "concat(transform(sequence(0, _rows - 1), i -> named_struct('part', i * _columns + _j, 'side', 1)), "
         "CASE WHEN row THEN transform(sequence(0, _columns - 1), j -> named_struct('part', _i * _columns + j, 'side', 0)) ELSE array() END)"
@@ -269,44 +319,62 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     component_id is the smallest document reachable over links of similarity 0.75 or
     more, kept whether that is the document itself. Null, empty and wordless texts
-    are linked with nothing. doc_id is an integer; rows that share one must be equal
-    and are kept or not together. Rows without one are linked with nothing and kept.
+    are linked with nothing. doc_id is an integer. Rows that share one are one
+    document, linked with whatever any of their texts links, and kept or not together;
+    n_shingles is each row's own. Rows without one are linked with nothing and kept.
     Other columns don't matter.
     """
     nameless = docs.filter(F.col(doc_id).isNull()).select(F.lit(0).cast("long").alias("doc"), F.col(text).alias("text"))
     docs = docs.filter(F.col(doc_id).isNotNull())
     all_docs = stored(describe(docs, doc_id, text), "described")
-    classes = all_docs.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("_copies"))
-    classes = stored(classes, "classes")
+    classes = stored(all_docs.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc")), "classes")
     # Copies of a set have its bands too; only the smallest document's go on.
-    reps = all_docs.join(classes.select("doc", "fp"), ["doc", "fp"], "left_semi")
+    reps = all_docs.select("doc", "fp", "bands").join(classes, ["doc", "fp"], "left_semi")
     banded = reps.select("doc", F.posexplode("bands").alias("_k", "_v")).select("doc", F.expr("xxhash64(_k, _v)").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("_last")).filter("centre < _last")
-    members = stored(banded.join(shared, "bucket").select("bucket", "doc", "centre"), "members")
-
-    light = reps.select("doc", "n", "sketch")
+    shared = stored(shared, "shared")
+    members = stored(banded.join(shared.hint("merge"), "bucket").select("bucket", "doc", "centre"), "members")
+    discard(shared)
+    clean_shuffles(docs.sparkSession)
+
+    # Sketches of documents that share a bucket, few of all.
+    named = members.select("doc").distinct()
+    light = all_docs.select("doc", "fp", "n", "sketch").join(broadcast_if_small(named, "16"), "doc", "left_semi").join(classes, ["doc", "fp"], "left_semi")
+    light = stored(light.select("doc", "n", "sketch"), "light")
     tested = first_round(members, light, docs, doc_id, text)
     links = tested.filter("linked")
-    comps = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    placed = lambda m: m.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    near = roots(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
+    placed = lambda m, comps: m.join(comps.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
-    residue = stored(spread(placed(members.select("bucket", "doc"))), "residue")
+    residue = stored(spread(placed(members.select("bucket", "doc"), near)), "residue")
+    discard(members, near)
+    clean_shuffles(docs.sparkSession)
     nearest = stored(kernel(blocks(residue, light), True), "nearest")
     # Of the partners that a row has in several parts and buckets, the nearest.
     pairs = nearest.groupBy("d").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
-    if not pairs.isEmpty():
-        tested = stored(tested.union(tests(pairs, docs, doc_id, text)), "tested")
-        comps = components(tested.filter("linked"))
+    second = tests(pairs, docs, doc_id, text)
+    comps = components(tested.union(second).filter("linked"))
     # Rows that had no partner have none now, and buckets without other rows have nothing left.
-    live = nearest.select("bucket", F.col("d").alias("doc")).distinct().withColumn("row", F.lit(True))
-    left = residue.select("bucket", "doc").join(live.select("bucket").distinct(), "bucket", "left_semi")
-    left = placed(left.join(live, ["bucket", "doc"], "left").withColumn("row", F.coalesce("row", F.lit(False))))
-    pairs = kernel(blocks(left, light), False).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    live = stored(nearest.select("bucket", F.col("d").alias("doc")).distinct().withColumn("row", F.lit(True)), "live")
+    buckets = stored(live.select("bucket").distinct(), "buckets")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = residue.select("bucket", "doc").join(buckets.hint("merge"), "bucket", "left_semi").repartition(n, "bucket", "doc")
+    left = stored(placed(left.join(live, ["bucket", "doc"], "left").withColumn("row", F.coalesce("row", F.lit(False))), comps), "left")
+    discard(residue, nearest, pairs, live, buckets)
+    clean_shuffles(docs.sparkSession)
+    pairs = kernel(blocks(left, light), False).select("a", "b").distinct().join(tested.union(second).select("a", "b"), ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
-    if not pairs.isEmpty():
-        tested = stored(tested.union(tests(pairs, docs, doc_id, text)), "tested")
-        comps = components(tested.filter("linked"))
+    discard(left, light)
+    clean_shuffles(docs.sparkSession)
+    twins = stored(twice(all_docs, classes), "twins")
+    if not (pairs.isEmpty() and twins.isEmpty()):
+        edges = tested.union(second).filter("linked").select("a", "b").union(twins)
+        third = None if pairs.isEmpty() else tests(pairs, docs, doc_id, text)
+        discard(comps)
+        comps = components(edges if third is None else edges.union(third.filter("linked").select("a", "b")))
+        discard(third)
+    discard(tested, second, pairs, twins)
 
     of = classes.join(comps.toDF("doc", "_root"), "doc", "left").select("fp", F.coalesce("_root", "doc").alias("component_id"))
     joined = all_docs.select("doc", "n", "fp").join(of, "fp", "left")
@@ -318,6 +386,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.unionByName(describe(nameless, "doc", "text").select(none.alias(doc_id), F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(True).alias("kept")))
 
 
+def twice(all_docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the classes of ids that come with several sets, each linked with the id."""
+    ids = all_docs.filter("fp IS NOT NULL").groupBy("doc").agg(F.min("fp").alias("_x"), F.max("fp").alias("_y")).filter("_x < _y").select("doc")
+    own = all_docs.select("doc", "fp").join(ids, "doc", "left_semi").distinct()
+    return own.join(classes.toDF("fp", "a"), "fp").select("a", F.col("doc").alias("b")).distinct()
+
+
 def first_round(members: DataFrame, light: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Tested pairs (a, b, linked): each document with the centre that it shares most buckets with."""
     often = members.filter("doc <> centre").groupBy("doc", "centre").agg(F.count(F.lit(1)).alias("_often"))
@@ -332,14 +407,10 @@ def first_round(members: DataFrame, light: DataFrame, docs: DataFrame, doc_id: s
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             yield batch.loc[admitted(batch["na"], batch["nb"], apart), ["a", "b"]]
 
-    pairs = stored(possible.mapInPandas(near, "a long, b long"), "pairs")
-    return stored(tests(pairs, docs, doc_id, text), "tested")
-
-
-def tests(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stored(sets_of(docs, doc_id, text, wanted), "sets")
-    return stored(confirm(pairs, sets), "confirmed")
+    pairs = stored(possible.mapInPandas(near, "a long, b long").distinct(), "pairs")
+    done = tests(pairs, docs, doc_id, text)
+    discard(pairs)
+    return done
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

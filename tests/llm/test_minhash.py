@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -78,6 +79,26 @@ def test_nameless_repeated_and_empty(spark):
     assert minhash.near_duplicates(documents(spark, [None, "", " "])).filter("kept").count() == 3
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    near = lambda t: t + " tail"
+    docs = documents(spark, [one, two, near(one), near(two), three], ids=[5, 5, 3, 8, 9])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (8, 3, False), (9, 9, True)]
+
+
+def test_given_tables_against_brute_force(spark):
+    """All documents of a given table, sets compared without bands or sketches."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no given tables here")
+    docs = spark.read.parquet(path)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    ids = [k for k, _ in rows]
+    want = {ids[k]: (n, ids[c], kept) for k, (n, c, kept) in enumerate(brute([t for _, t in rows]))}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_sketch_never_rules_out_small_sets_and_seldom_larger_ones():
     rng = np.random.default_rng(6)
     for n, trials in ((40, 200), (400, 200), (3000, 200)):
