@@ -9,8 +9,9 @@ a window then exceeds the capacity, the portion is packed again with one window
 more.
 
 Portions are closed just below k windows by cutting the document that crosses
-their end. Tasks pack their own rows, in the order of a written table, so there is
-no shuffle and a task that is run again packs the same.
+their end; other documents that fit in a sequence are cut only in portions that
+would waste too many windows. Tasks pack their own rows, in the order of a written
+table, so there is no shuffle and a task that is run again packs the same.
 """
 
 from __future__ import annotations
@@ -29,33 +30,46 @@ from sluice.llm.tokens import tokenizer_path
 
 CAPACITY = 4096
 #: Windows of a portion, and the ids left free in each when a portion is closed, which differencing rarely overruns.
-WINDOWS, SLACK = 128, 24
-#: Longest piece of a leftover: differencing balances windows of several pieces closely.
-PIECE = 1024
+WINDOWS, SLACK = 256, 24
+#: Share of windows beyond the least possible number above which a portion's longest pieces are cut in two and it is packed again.
+WASTE = 0.03
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """The items' indices in k groups of nearly equal sums (Karmarkar and Karp's method for many ways)."""
+    """The items' indices in k groups of nearly equal sums (Karmarkar and Karp's method for many ways).
+
+    A partition is the ascending list of its windows that hold something, each as sum
+    and node in one integer. Where two partitions together have more than k of them,
+    the fullest of one met the empty ones of the other already, and as many of the
+    smallest of both as there are too many meet in opposite order.
+    """
     if not sizes:
         return [[] for _ in range(k)]
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = size
-        groups: list[list[int]] = [[] for _ in range(k - 1)] + [[i]]
-        heap.append((-size, i, sums, groups))
+    nodes: list[tuple[int, int] | None] = [None] * len(sizes)
+    heap = [(-size, i, [size << 32 | i]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    serial = len(sizes)
-    while len(heap) > 1:
-        _, _, s1, g1 = heapq.heappop(heap)
-        _, _, s2, g2 = heapq.heappop(heap)
-        sums = s1 + s2[::-1]
-        order = np.argsort(sums, kind="stable")
-        merged = [a + b if a and b else a or b for a, b in zip(g1, reversed(g2), strict=True)]
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), serial, sums, [merged[j] for j in order]))
-        serial += 1
-    return heap[0][3]
+    for serial in range(len(sizes), 2 * len(sizes) - 1):
+        _, _, one = heapq.heappop(heap)
+        _, _, two = heap[0]
+        over = max(0, len(one) + len(two) - k)
+        merged = one[over:] + two[over:]
+        for x, y in zip(one[:over], reversed(two[:over]), strict=True):
+            merged.append(((x >> 32) + (y >> 32)) << 32 | len(nodes))
+            nodes.append((x & 0xFFFFFFFF, y & 0xFFFFFFFF))
+        merged.sort()
+        least = merged[0] >> 32 if len(merged) == k else 0
+        heapq.heapreplace(heap, (least - (merged[-1] >> 32), serial, merged))
+    groups: list[list[int]] = []
+    for window in heap[0][2]:
+        group, todo = [], [window & 0xFFFFFFFF]
+        while todo:
+            n = todo.pop()
+            if n < len(sizes):
+                group.append(n)
+            else:
+                todo += nodes[n]
+        groups.append(group)
+    return groups + [[] for _ in range(k - len(groups))]
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -86,7 +100,6 @@ def pack(
     path = path or tokenizer_path()
     width = id_width(path, end)
     tokens = stored(tokenized(docs, path, end, doc_id, text), "ids")
-    piece = max(1, PIECE * capacity // CAPACITY)
     full = WINDOWS * (capacity - SLACK * capacity // CAPACITY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +120,13 @@ def pack(
 
         def close() -> None:
             nonlocal held, size
-            for group in windows_of([len(x[2]) for x in held], capacity):
+            limit, least = capacity, -(-size // capacity)
+            groups = windows_of([len(x[2]) for x in held], capacity)
+            while len(groups) > least * (1 + WASTE) and limit > capacity // 4:
+                limit = max(1, limit // 2)
+                held = [(doc, start + at, own[at : at + limit], n) for doc, start, own, n in held for at in range(0, len(own), limit)]
+                groups = windows_of([len(x[2]) for x in held], capacity)
+            for group in groups:
                 place([held[i] for i in group])
             held, size = [], 0
 
@@ -124,7 +143,7 @@ def pack(
                     place([(doc, start, own[start : start + capacity], len(own))])
                 start = whole
                 while start < len(own):
-                    some = own[start : start + min(full - size, piece)]
+                    some = own[start : start + full - size]
                     held.append((doc, start, some, len(own)))
                     start, size = start + len(some), size + len(some)
                     if size == full:

@@ -1,6 +1,7 @@
 """Token files, packing and WARC bundles: exact round trips."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -80,6 +81,36 @@ def test_differencing():
     assert packing.padded(2048) == 2048 and packing.padded(2047) == 4096 and packing.padded(4096) == 4096
 
 
+def dense(sizes, k):
+    """Sums by plain differencing: vectors of all k windows, the two of the largest spread merged in opposite order."""
+    parts = [[0] * (k - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda v: v[0] - v[-1])
+        one, two, *parts = parts
+        parts.append(sorted(a + b for a, b in zip(one, reversed(two), strict=True)))
+    return parts[0] if parts else [0] * k
+
+
+def test_differencing_equals_the_plain_one():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        k = int(rng.integers(1, 9))
+        # Sizes far apart: hardly two spreads are equal, so the order of merges is given.
+        sizes = [int(x) for x in rng.choice(10**6, rng.integers(0, 30), replace=False) + 1]
+        groups = packing.differencing(sizes, k)
+        assert sorted(i for g in groups for i in g) == list(range(len(sizes))) and len(groups) == k
+        assert sorted(sum(sizes[i] for i in g) for g in groups) == dense(sizes, k)
+
+
+def test_documents_that_fit_are_seldom_cut(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no given tables here")
+    pieces = packing.pack(spark.read.parquet(path).coalesce(1)).toPandas()
+    fits = pieces[pieces["doc_tokens"] <= packing.CAPACITY]
+    assert len(fits) - fits["doc_id"].nunique() <= 2
+
+
 def test_packing(spark, tokenizer):
     docs = clashing(documents(spark, TEXTS * 30, ids=[None if k == 3 else k // 2 for k in range(300)]))
     pieces = packing.pack(docs, ids=True).toPandas()
