@@ -190,17 +190,20 @@ def test_contamination(spark, monkeypatch, small):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_contamination_without_ids(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+def test_contamination_of_rows_without_or_with_the_same_id_on_both_paths(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten"
-    ids = [None, None, None, 1, 2, 2]
-    docs = documents(spark, ["clean words", f"x {item} y", f"x {item} y", "clean", "short", f"{item} z"], ids=ids)
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted([(None, 12, 10, 1, True), (1, 1, 0, 0, False), (2, 11, 10, 1, True)], key=repr)
-    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()] == [1]
+    ids = [None, None, None, None, 1, 2, 2, 3, 3]
+    texts = ["clean words", f"x {item} y", f"x {item} y", None, "clean", "short", f"{item} z", "same", "same"]
+    docs = clashing(documents(spark, texts, ids=ids))
+    bench = spark.createDataFrame([(1, item), (2, "never said in any text")], "item_id long, text string")
+    own = [(k, *w) for k, w in zip(ids, brute_contamination(texts, [(1, item), (2, "never said in any text")]))]
+    for bound in (decontaminate.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(own, key=repr)
+        left = decontaminate.decontaminated(docs, bench)
+        assert left.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(((k, t) for k, t, w in zip(ids, texts, own) if not w[5]), key=repr)
 
 
 def test_native_operators_run_no_python(spark):
