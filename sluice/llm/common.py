@@ -137,7 +137,13 @@ def put_file(uri: str, parts) -> None:
     with fs.open_output_stream(draft) as out:
         for part in parts:
             out.write(part)
-    fs.move(draft, path)
+    try:
+        fs.move(draft, path)
+    except OSError:
+        # Some file systems refuse a name that is taken: an earlier run of the task has written the whole file.
+        if fs.get_file_info(path).type.name != "File":
+            raise
+        fs.delete_file(draft)
 
 
 def get_range(uri: str, start: int, length: int) -> bytes:

@@ -163,3 +163,45 @@ def test_warc(spark, monkeypatch):
             plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
         assert plain.count(b"WARC/1.1") == f["n_records"]
     assert seen == len(html) and warc.read(warc.write(pages.limit(0))).count() == 0
+
+
+def test_warc_of_repeated_and_missing_ids(spark):
+    big = "<p>é</p>" * 200
+    given = [(5, "a"), (5, "b"), (5, big), (None, big), (None, "c"), (None, "c"), (7, big), (7, big), (3, big), (None, None), (5, "a")]
+    pages = spark.createDataFrame([(p, "http://h/", h) for p, h in given], "page_id long, url string, html string")
+    files = warc.write(pages)
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read(files).collect()), key=repr)
+    want = []
+    for p, h in given:
+        data = (h or "").encode()
+        revisit = h == big and p != 7
+        want.append((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 7 if revisit else None))
+    assert got == sorted(want, key=repr)
+    ids = [fields["WARC-Record-ID"] for f in files.collect() for fields, _ in warc.Bundle(f["uri"]).records()]
+    assert len(set(ids)) == len(given)
+    some = sorted(((r["page_id"], r["payload_bytes"]) for r in warc.read(files, [5, 3, 99]).collect()), key=repr)
+    assert some == sorted(((p, len((h or "").encode())) for p, h in given if p in (5, 3)), key=repr)
+    assert warc.read(files, []).count() == 0
+
+
+def test_a_file_that_is_there_already_stays_whole(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from sluice.llm import common
+
+    uri = f"file://{tmp_path}/x/f"
+    common.put_file(uri, [b"whole"])
+
+    class Refusing:
+        def __init__(self):
+            self.own = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def move(self, a, b):
+            raise OSError("exists")
+
+    monkeypatch.setattr(common, "file_system", lambda u: (Refusing(), str(tmp_path / "x/f")))
+    common.put_file(uri, [b"whole"])
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["f"] and (tmp_path / "x/f").read_bytes() == b"whole"
