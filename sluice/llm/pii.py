@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, validators confirm them, nearby words adjust the score.
+"""Personal data and secrets: patterns propose spans, validators confirm them, nearby words adjust the score.
 
 All of it is array expressions over a document's own row, so a pass has no
 shuffle. The patterns of the base kinds are those of the contract, written with
@@ -48,12 +48,24 @@ MOD97 = (
     "CASE WHEN ascii(c) >= 65 THEN (a * 100 + ascii(c) - 55) % 97 ELSE (a * 10 + int(c)) % 97 END) = 1"
 )
 OCTET = "0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+#: Bits a character by the string's own frequencies: random hexadecimal digits have about 3.7, words and runs less.
+ENTROPY = (
+    "aggregate(array_distinct(filter(split(x.v, ''), c -> c <> '')), 0D, (a, c) -> "
+    "a - (length(x.v) - length(replace(x.v, c, ''))) / length(x.v) * log2((length(x.v) - length(replace(x.v, c, ''))) / length(x.v)))"
+)
+LEAST_BITS = 3.0
+#: Words that stand before secrets, alone or at the end of a name.
+SECRETS = r"\w{0,30}(?:token|secret|passw|passphrase|api_?key|access_?key|private_?key|credential|bearer|auth)"
+#: Public formats of keys that say what they are (fixed values).
+PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(_t, '@')", "true", 0.7, "e-?mail|mail|contact|write|reach"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "contains(_t, '.')", rf"x.v RLIKE r'^{OCTET}(\.{OCTET}){{3}}$'", 0.6, "ip|host|server|address|login"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", "true", LUHN, 0.7, "card|visa|credit|debit|payment|expir"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(_t, '+')", f"length({DIGITS}) BETWEEN 8 AND 15", 0.6, "tel|phone|call|mobile|fax|whatsapp"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", "true", f"NOT x.around RLIKE '[A-Za-z0-9]' AND {MOD97}", 0.7, "iban|bank|account|konto|transfer", 0.5),
+    Kind("key", PREFIXED, "contains(_t, '_') OR contains(_t, 'KIA') OR contains(_t, 'SIA') OR contains(_t, 'xox') OR contains(_t, 'PRIVATE KEY')", "true", 0.8, SECRETS, 0.5),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", "true", f"x.v RLIKE '[0-9]' AND x.v RLIKE '[A-Za-z]' AND {ENTROPY} >= {LEAST_BITS}D", 0.3, SECRETS, 0.5),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "contains(_t, '-')", "NOT x.around RLIKE '[0-9A-Za-z-]' AND NOT x.v RLIKE '^(000|666|9)|-00-|-0000$'", 0.3, "ssn|social security|taxpayer", 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -110,7 +122,7 @@ def joined(where: str = "true") -> F.Column:
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: keep, counts of the base kinds, base_sha256, spans (text), n_iban, n_ssn and details with the scores."""
+    """Per row: keep, counts of the base kinds, base_sha256, spans (text), counts of the added kinds (n_iban, n_key, n_secret, n_ssn), n_spans and has_pii."""
     base = "x.kind IN ({})".format(", ".join(f"'{b}'" for b in BASE))
     return spans(docs, text, keep).select(
         *keep,
@@ -118,6 +130,8 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined().alias("spans"),
         *[F.expr(f"cast(size(filter(_spans, x -> x.kind = '{k.name}')) as bigint)").alias(f"n_{k.name}") for k in KINDS if k.name not in BASE],
+        F.size("_spans").cast("long").alias("n_spans"),
+        (F.size("_spans") > 0).alias("has_pii"),
     )
 
 

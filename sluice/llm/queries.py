@@ -131,12 +131,19 @@ def _pii_sql() -> str:
     )
     beside = "(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, s + length(v) + 1, 1))"
     near = "lower(substr(t, greatest(s + 1 - 40, 1), length(v) + 40 + least(40, s)))"
+    p = "((length(v) - length(replace(v, c, ''))) / length(v))"
+    entropy = f"list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -{p} * log2({p})))"
     kinds = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", octets),
         "card": (r"[0-9]([\x20-]?[0-9])+", luhn),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
         "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"NOT regexp_matches({beside}, '[A-Za-z0-9]') AND {mod97}"),
+        "key": (pii.PREFIXED, "true"),
+        "secret": (
+            r"[A-Za-z0-9+/_-]{20,}={0,2}",
+            f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND {entropy} >= 3 AND regexp_matches({near}, '\\b(?:{pii.SECRETS})')",
+        ),
         "ssn": (
             r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
             f"NOT regexp_matches({beside}, '[0-9A-Za-z-]') AND NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND regexp_matches({near}, '\\b(?:ssn|social security|taxpayer)')",
@@ -151,7 +158,8 @@ def _pii_sql() -> str:
     count = ", ".join(f"coalesce(count(*) FILTER (kind = '{name}'), 0) AS n_{name}" for name in kinds)
     text = "coalesce(string_agg(kind || ':' || cast(s AS BIGINT) || ':' || cast(s + length(v) AS BIGINT), ',' ORDER BY k, s){where}, '')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({each})
-SELECT doc_id, {count}, sha256({text.format(where=" FILTER (k < 4)")}) AS base_sha256, {text.format(where="")} AS spans
+SELECT doc_id, {count}, sha256({text.format(where=" FILTER (k < 4)")}) AS base_sha256, {text.format(where="")} AS spans,
+  count(kind) AS n_spans, count(kind) > 0 AS has_pii
 FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
 
 
