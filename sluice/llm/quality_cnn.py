@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import held_out, labelled_sample, logistic
 
-#: Most labelled documents, and chunks of each, that the network is fitted on.
-SAMPLE, CHUNKS = 5000, 6
+#: Most labelled documents that the network is fitted on, with all their chunks; a document weighs as much as any other.
+SAMPLE = 3000
 #: Dimensions of a byte, filters, hidden units.
 D, FILTERS, HIDDEN = 8, 32, 16
 #: A chunk is 512 bytes and the first 64 of the next one.
@@ -130,8 +130,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((self.features(raw) - mean) / scale @ w + bias, -30, 30)))
 
 
-def fitted(chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
-    """chunks: bytes, STEP + CELL of each. Adam on the logistic loss; the gradient passes through each filter's best window alone."""
+def fitted(chunks: np.ndarray, y: np.ndarray, share: np.ndarray, seed: int = 7) -> Network:
+    """chunks: bytes, STEP + CELL of each; share: what each weighs. Adam on the logistic loss; the gradient passes through each filter's best window alone."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     p = {
@@ -145,7 +145,8 @@ def fitted(chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     }
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     again = repeats(np.ascontiguousarray(chunks[:, :STEP]).reshape(-1), len(chunks))
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(f32)
+    good = float((share * y).sum() / share.sum())
+    balance = (np.where(y == 1, 0.5 / max(good, 1e-6), 0.5 / max(1 - good, 1e-6)) * share / share.mean()).astype(f32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(chunks))
         for at in range(0, len(order), BATCH):
@@ -186,16 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     y = np.array([r[2] for r in sample], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(None, None, float(y.mean()) if len(y) else 0.5)
-    rng = np.random.default_rng(11)
     raw = [r[1].encode("utf-8", "surrogatepass") for r in sample]
-    rows, of = [], []
-    for k, text in enumerate(raw):
-        n = max(1, -(-len(text) // STEP))
-        # Chunks from all over the text.
-        for c in sorted(rng.choice(n, min(n, CHUNKS), replace=False)):
-            rows.append(np.frombuffer(text[c * STEP : (c + 1) * STEP + CELL].ljust(STEP + CELL, b"\0"), np.uint8))
-            of.append(k)
-    model = Model(fitted(np.stack(rows), y[of].astype(np.float32)), None, float(y.mean()))
+    many = np.array([max(1, -(-len(t) // STEP)) for t in raw])
+    of = np.repeat(np.arange(len(raw)), many)
+    data, _ = laid_out(raw)
+    rows = np.lib.stride_tricks.sliding_window_view(data, STEP + CELL)[::STEP].copy()
+    # A document's last chunk ends in zeros, whatever comes after it here.
+    rows[np.cumsum(many) - 1, STEP:] = 0
+    model = Model(fitted(rows, y[of].astype(np.float32), 1 / many[of]), None, float(y.mean()))
     model.fit = logistic(model.features(raw), y)
     return model
 

@@ -1,23 +1,29 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are read as classes: insult, threat, target, negation, reporting. Small
-transducers each follow one relation over a clause and put out a factor for an
-insult or a completed threat: whether a target stands near, whether the term is
-negated, whether the clause reports somebody's words. Their composition, built once
-as one table, runs over the clauses that hold an insult or a threat, and a matched
-clause weighs what its path puts out. A logistic regression turns the weights of a
-document's clauses into a probability.
-
-Insults and their weights are learned: words, and stems with many endings, that
-separate the toxic from the other documents of a bounded labelled sample. The
-words of the other classes are given. Texts are split by the same pattern in
-learning and in scoring, so markup, slashes and dashes hide no word.
+transducers each follow one relation over a clause: whether a target stands near an
+insult, on either side, whether the insult is negated, whether the clause reports
+somebody's words, whether a threat is completed by a target. Their composition, built
+once as a table from left to right and one from right to left, runs over the clauses
+that hold an insult or a threat, and says on which path each of them lies. Clauses end
+at marks, commas and lines.
+
+What counts is not a word but the path: a document's features are the weights of its
+clauses summed for each path (bare, targeted, negated, reported, threat), and a
+logistic regression learns what each path is worth. So a relation counts as far as
+labels bear it out.
+
+Insults and their weights are learned too: words, and stems with many endings, that
+separate the toxic from the other documents of a bounded labelled sample, in each of
+its halves. The words of the other classes are given. Texts are split by the same
+pattern in learning and in scoring, so markup, slashes and dashes hide no word.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -34,6 +40,8 @@ from sluice.llm.common import give_back, held_out, labelled_sample, logistic
 SAMPLE = 6000
 #: An entry of the lexicon is in so many toxic documents at least, and so many times likelier there.
 LEAST_DOCS, LEAST_RATIO = 6, 6.0
+#: The same in either half of the sample.
+HALF_DOCS, HALF_RATIO = 3, 4.0
 #: A stem is an entry if it has so many endings.
 LEAST_ENDINGS = 12
 STEM = range(4, 9)
@@ -48,51 +56,63 @@ GIVEN = {
     REPORT: "said says say told quote quoted quotes called wrote writes claimed reported according sagte sagt zitiert dit disait écrit cité dijo dice escribió",
 }
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-#: A mark between words that ends a clause; one before a digit is part of a number.
-END = re.compile(r"[.!?;](?![\d_])")
+#: A mark between words that ends a clause; one before a digit is part of a number. The end of a line is read as LINE.
+LINE = "\0"
+END = re.compile(rf"[.!?;,:{LINE}](?![\d_])")
+#: Relations of an insult, as bits; its path is the first that holds, reported before negated before targeted, or bare.
+TARGETED, NEGATED, REPORTED = 1, 2, 4
+PATHS = ("bare", "targeted", "negated", "reported", "threat")
+PATH_OF = [3 if bits & REPORTED else 2 if bits & NEGATED else 1 if bits & TARGETED else 0 for bits in range(8)]
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, class) -> (next state, log factor for an insult, log weight of a threat or None). Missing arcs go to rest with no output."""
+    """arcs: (state, class) -> (next state, log factor for an insult or None, log weight of a threat or None). Missing arcs go to rest with no output.
 
+    relation: the bit that a factor stands for.
+    """
+
+    relation: int
     arcs: dict
     rest: dict = field(default_factory=dict)
 
-    def step(self, state: int, kind: int) -> tuple[int, float, float | None]:
-        return self.arcs.get((state, kind), (self.rest.get(state, 0), 0.0, None))
+    def step(self, state: int, kind: int) -> tuple[int, float | None, float | None]:
+        return self.arcs.get((state, kind), (self.rest.get(state, 0), None, None))
 
 
-def within(kind: int, span: int, factor: float) -> Transducer:
+def within(relation: int, kind: int, span: int, factor: float) -> Transducer:
     """After a word of the class, insults among the next span words get the factor."""
     arcs = {}
     for state in range(span + 1):
-        arcs[state, kind] = (span, 0.0, None)
-        arcs[state, INSULT] = (max(state - 1, 0), math.log(factor) if state else 0.0, None)
-    return Transducer(arcs, {s: max(s - 1, 0) for s in range(span + 1)})
+        arcs[state, kind] = (span, None, None)
+        arcs[state, INSULT] = (max(state - 1, 0), math.log(factor) if state else None, None)
+    return Transducer(relation, arcs, {s: max(s - 1, 0) for s in range(span + 1)})
 
 
-def until_end(kind: int, factor: float) -> Transducer:
-    arcs = {(0, kind): (1, 0.0, None), (1, kind): (1, 0.0, None), (1, INSULT): (1, math.log(factor), None)}
-    return Transducer(arcs, {0: 0, 1: 1})
+def until_end(relation: int, kind: int, factor: float) -> Transducer:
+    arcs = {(0, kind): (1, None, None), (1, kind): (1, None, None), (1, INSULT): (1, math.log(factor), None)}
+    return Transducer(relation, arcs, {0: 0, 1: 1})
 
 
 def threat(span: int, weight: float) -> Transducer:
     """A threat is a threatening verb that a target follows among the next span words."""
     arcs = {}
     for state in range(span + 1):
-        arcs[state, THREAT] = (span, 0.0, None)
+        arcs[state, THREAT] = (span, None, None)
         if state:
-            arcs[state, TARGET] = (0, 0.0, math.log(weight))
-    return Transducer(arcs, {s: max(s - 1, 0) for s in range(span + 1)})
+            arcs[state, TARGET] = (0, None, math.log(weight))
+    return Transducer(0, arcs, {s: max(s - 1, 0) for s in range(span + 1)})
 
 
-#: Target and negation before a term, reporting anywhere before it, and threats of their own.
-GRAMMAR = (within(TARGET, 3, 1.5), within(NEGATION, 2, 0.5), until_end(REPORT, 0.7), threat(3, 2.0))
+TARGET_NEAR = within(TARGETED, TARGET, 3, 1.5)
+#: From left to right: a target and a negation before an insult, reporting anywhere before it, threats of their own.
+GRAMMAR = (TARGET_NEAR, within(NEGATED, NEGATION, 2, 0.5), until_end(REPORTED, REPORT, 0.7), threat(3, 2.0))
+#: From right to left: a target after it. A relation that both sides find counts once.
+BACKWARDS = (TARGET_NEAR,)
 
 
-def composed(parts: tuple[Transducer, ...] = GRAMMAR) -> list[list[tuple[int, float, float]]]:
-    """The product of the transducers as one table: state, class -> (state, factor of an insult, weight of a threat)."""
+def composed(parts: tuple[Transducer, ...]) -> list[list[tuple[int, int, float]]]:
+    """The product of the transducers as one table: state, class -> (state, relations of an insult, weight of a threat)."""
     number, todo, table = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
     for states in todo:
         row = []
@@ -102,12 +122,18 @@ def composed(parts: tuple[Transducer, ...] = GRAMMAR) -> list[list[tuple[int, fl
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
-            threats = [x[2] for x in steps if x[2] is not None]
-            row.append((number[to], math.exp(sum(x[1] for x in steps)), sum(map(math.exp, threats))))
+            bits = sum(t.relation for t, x in zip(parts, steps, strict=True) if x[1] is not None)
+            row.append((number[to], bits, sum(math.exp(x[2]) for x in steps if x[2] is not None)))
         table.append(row)
     return table
 
 
+def factors(parts: tuple[Transducer, ...]) -> list[float]:
+    """What an insult of each set of relations weighs before anything is learned."""
+    of = {t.relation: max(x[1] for x in t.arcs.values() if x[1] is not None) for t in parts if t.relation}
+    return [math.exp(sum(v for bit, v in of.items() if bits & bit)) for bits in range(8)]
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float]
@@ -117,39 +143,80 @@ class Lexicon:
         self.given = {w: kind for kind, words in GIVEN.items() for w in words.split()}
 
     def look(self, word: str) -> tuple[int, float]:
+        """A given class comes first: labels can't turn a threat or a target into an insult."""
+        if word in self.given:
+            return self.given[word], 0.0
         if word in self.words:
             return INSULT, self.words[word]
         for k in STEM:
             if word[:k] in self.stems and len(word) > k:
                 return INSULT, self.stems[word[:k]]
-        return self.given.get(word, NEUTRAL), 0.0
-
-
-def learned(sample: Iterable[tuple[int, str, int]]) -> Lexicon:
-    """Entries and their log ratios, capped: words, and stems in the place of the words that they begin."""
-    n, words, stems, endings = Counter(), (Counter(), Counter()), (Counter(), Counter()), defaultdict(set)
-    for _, text, y in sample:
-        own = set(WORD.findall(text.lower()))
-        starts = {w[:k] for w in own for k in STEM if len(w) > k}
-        n[y] += 1
-        words[y].update(own)
-        stems[y].update(starts)
-        if y:
-            for w in own:
-                for k in STEM:
-                    if len(w) > k:
-                        endings[w[:k]].add(w)
-    weight = lambda c, x: math.log((c[1][x] + 0.5) / (n[1] + 1)) - math.log((c[0][x] + 0.5) / (n[0] + 1))
-    least = math.log(LEAST_RATIO)
+        return NEUTRAL, 0.0
+
+
+@dataclass
+class Counts:
+    """Documents, words and stems by label, and the endings of stems in toxic documents."""
+
+    n: Counter
+    words: tuple[Counter, Counter]
+    stems: tuple[Counter, Counter]
+    endings: dict[str, set[str]]
+
+    @staticmethod
+    def of(sample: Iterable[tuple[int, str, int]]) -> Counts:
+        out = Counts(Counter(), (Counter(), Counter()), (Counter(), Counter()), defaultdict(set))
+        for _, text, y in sample:
+            own = set(WORD.findall(text.lower()))
+            out.n[y] += 1
+            out.words[y].update(own)
+            out.stems[y].update({w[:k] for w in own for k in STEM if len(w) > k})
+            if y:
+                for w in own:
+                    for k in STEM:
+                        if len(w) > k:
+                            out.endings[w[:k]].add(w)
+        return out
+
+    def __add__(self, other: Counts) -> Counts:
+        two = [(a[0] + b[0], a[1] + b[1]) for a, b in ((self.words, other.words), (self.stems, other.stems))]
+        endings = defaultdict(set, {k: v | other.endings.get(k, set()) for k, v in self.endings.items()})
+        for k, v in other.endings.items():
+            endings.setdefault(k, v)
+        return Counts(self.n + other.n, *two, endings)
+
+    def weight(self, stems: bool, x: str) -> float:
+        c = self.stems if stems else self.words
+        return math.log((c[1][x] + 0.5) / (self.n[1] + 1)) - math.log((c[0][x] + 0.5) / (self.n[0] + 1))
+
+
+def learned(one: Counts, two: Counts) -> Lexicon:
+    """Entries and their log ratios, capped, that hold in both halves: words, and stems in the place of the words that they begin."""
+    both = one + two
+    half = math.log(HALF_RATIO)
+
+    def holds(stems: bool, x: str) -> bool:
+        return all((c.stems if stems else c.words)[1][x] >= HALF_DOCS and c.weight(stems, x) >= half for c in (one, two))
+
+    given = {w for words in GIVEN.values() for w in words.split()}
+    least, stems = math.log(LEAST_RATIO), both.stems[1]
+    ordered = sorted(stems)
     found: dict[str, float] = {}
-    for s in sorted(stems[1], key=lambda s: (len(s), s)):
-        if stems[1][s] >= LEAST_DOCS and len(endings[s]) >= LEAST_ENDINGS and (v := weight(stems, s)) >= least and not any(s[:k] in found for k in STEM if k < len(s)):
-            # The longest start that the same documents share says more than the shortest.
-            longer = [x for x in stems[1] if x.startswith(s) and stems[1][x] >= 0.9 * stems[1][s]]
-            s = max(longer, key=lambda x: (len(x), x))
-            found[s] = min(weight(stems, s), 4.0)
+    for s in sorted((s for s, n in stems.items() if n >= LEAST_DOCS), key=lambda s: (len(s), s)):
+        if len(both.endings[s]) < LEAST_ENDINGS or any(s[:k] in found for k in STEM if k < len(s)) or both.weight(True, s) < least or not holds(True, s):
+            continue
+        # The longest start that the same documents share says more than the shortest.
+        at, many = bisect_left(ordered, s), stems[s]
+        while at < len(ordered) and ordered[at].startswith(s[: min(STEM)]):
+            x = ordered[at]
+            if x.startswith(s) and (len(x), x) > (len(s), s) and stems[x] >= 0.9 * many:
+                s = x
+            at += 1
+        found[s] = min(both.weight(True, s), 4.0)
     single = {
-        w: min(v, 4.0) for w, c in words[1].items() if c >= LEAST_DOCS and (v := weight(words, w)) >= least and not any(w[:k] in found for k in STEM if k < len(w))
+        w: min(v, 4.0)
+        for w, c in both.words[1].items()
+        if c >= LEAST_DOCS and w not in given and (v := both.weight(False, w)) >= least and holds(False, w) and not any(w[:k] in found for k in STEM if k < len(w))
     }
     return Lexicon(single, found)
 
@@ -158,7 +225,7 @@ class Reader(dict):
     """token between blanks -> (class, weight, whether a clause ends before it, and after it) for each of its words. A token without words is one neutral word."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.table = lexicon, composed()
+        self.lexicon, self.table, self.back, self.factors = lexicon, composed(GRAMMAR), composed(BACKWARDS), factors(GRAMMAR + BACKWARDS)
 
     def __missing__(self, token: str) -> tuple[tuple[int, float, bool, bool], ...]:
         found = WORD.findall(token)
@@ -174,38 +241,52 @@ class Reader(dict):
             self[token] = value
         return value
 
-    def clauses(self, text: str | None) -> tuple[list[float], int]:
-        """(weights of the matched clauses, number of words)."""
-        tokens = text.lower().split() if text else []
+    def paths(self, text: str | None) -> tuple[list[list[float]], int]:
+        """(for each matched clause the weights of its insults and threats on each path, number of words)."""
+        tokens = text.lower().replace("\n", f" {LINE} ").split() if text else []
         read = list(chain.from_iterable(map(self.__getitem__, tokens)))
         hits = [i for i, x in enumerate(read) if x[0] in (INSULT, THREAT)]
         out, done = [], -1
         for i in hits:
             if i <= done:
                 continue
-            start = i
+            start, stop = i, i + 1
             while start > done + 1 and not read[start][2] and not read[start - 1][3]:
                 start -= 1
-            state, total, at = 0, 0.0, start
-            while at < len(read):
-                kind, weight, before, end = read[at]
-                if before and at > start:
-                    at -= 1
-                    break
-                state, factor, threats = self.table[state][kind]
-                total += weight * factor + threats if kind == INSULT else threats
-                if end:
-                    break
-                at += 1
-            done = at
-            if total > 0:
-                out.append(total)
+            while stop < len(read) and not read[stop - 1][3] and not read[stop][2]:
+                stop += 1
+            done = stop - 1
+            own = [0.0] * len(PATHS)
+            relations: dict[int, int] = {}
+            state = 0
+            for at in range(start, stop):
+                kind = read[at][0]
+                state, bits, threats = self.table[state][kind]
+                own[4] += threats
+                if kind == INSULT:
+                    relations[at] = bits
+            state = 0
+            for at in range(stop - 1, start - 1, -1):
+                state, bits, _ = self.back[state][read[at][0]]
+                if at in relations:
+                    bits |= relations[at]
+                    own[PATH_OF[bits]] += read[at][1] * self.factors[bits]
+            if any(own):
+                out.append(own)
         return out, len(read)
 
+    def clauses(self, text: str | None) -> tuple[list[float], int]:
+        """(weights of the matched clauses, number of words)."""
+        found, n = self.paths(text)
+        return [sum(own) for own in found], n
+
     def features(self, text: str | None) -> list[float]:
-        own, n = self.clauses(text)
-        total = sum(own)
-        return [math.log1p(total), max(own, default=0.0), math.log1p(len(own)), math.log1p(1000 * total / (n + 20)), math.log1p(n)]
+        found, n = self.paths(text)
+        sums = [sum(own[k] for own in found) for k in range(len(PATHS))]
+        return [*map(math.log1p, sums), max(map(sum, found), default=0.0), math.log1p(len(found)), math.log1p(1000 * sum(sums) / (n + 20)), math.log1p(n)]
+
+
+FEATURES = len(PATHS) + 4
 
 
 @dataclass
@@ -215,7 +296,7 @@ class Model:
     prior: float
 
     def scores(self, reader: Reader, texts: Iterable[str | None]) -> np.ndarray:
-        x = np.array([reader.features(t) for t in texts], np.float64).reshape(-1, 5)
+        x = np.array([reader.features(t) for t in texts], np.float64).reshape(-1, FEATURES)
         if self.fit is None:
             return np.full(len(x), self.prior)
         w, bias, mean, scale = self.fit
@@ -228,13 +309,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     y = np.array([r[2] for r in sample], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(Lexicon({}, {}), None, float(y.mean()) if len(y) else 0.0)
-    # Weights are fitted on documents that the lexicon of the other half was learned from, so it can't praise itself.
-    halves = [sample[0::2], sample[1::2]]
-    x = np.empty((len(sample), 5))
-    for k in (0, 1):
-        reader = Reader(learned(halves[1 - k]))
-        x[k::2] = [reader.features(r[1]) for r in halves[k]]
-    return Model(learned(sample), logistic(x, y), float(y.mean()))
+    # Weights are fitted on documents that the lexicon of the others was learned from, so it can't praise itself.
+    quarters = [Counts.of(sample[k::4]) for k in range(4)]
+    x = np.empty((len(sample), FEATURES))
+    for k in (0, 2):
+        reader = Reader(learned(*quarters[2 - k : 4 - k]))
+        for j in (k, k + 1):
+            x[j::4] = np.array([reader.features(r[1]) for r in sample[j::4]]).reshape(-1, FEATURES)
+    return Model(learned(quarters[0] + quarters[1], quarters[2] + quarters[3]), logistic(x, y), float(y.mean()))
 
 
 def scorer(model: Model) -> Callable[[Column], Column]:

@@ -63,6 +63,66 @@ def test_grammar():
     assert len(reader.clauses("moron. moron! fine. moron")[0]) == 3
 
 
+def plain_paths(words):
+    """The relations by looking around each word of a clause; words are (class, weight)."""
+    own = [0.0] * 5
+    for i, (kind, weight) in enumerate(words):
+        kinds = [k for k, _ in words]
+        if kind == toxicity.INSULT:
+            near = toxicity.TARGET in kinds[max(0, i - 3) : i] + kinds[i + 1 : i + 4]
+            negated, reported = toxicity.NEGATION in kinds[max(0, i - 2) : i], toxicity.REPORT in kinds[:i]
+            path = 3 if reported else 2 if negated else 1 if near else 0
+            own[path] += weight * (1.5 if near else 1) * (0.5 if negated else 1) * (0.7 if reported else 1)
+        if kind == toxicity.TARGET:
+            before = [j for j in range(max(0, i - 3), i) if kinds[j] == toxicity.THREAT]
+            own[4] += 2.0 if before and toxicity.TARGET not in kinds[before[-1] + 1 : i] else 0.0
+    return own
+
+
+def test_composed_transducers_equal_a_plain_reading():
+    import random
+
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"moron": 2.0, "idiot": 1.5}, {})
+    reader = toxicity.Reader(lexicon)
+    words = ["moron", "idiot", "kill", "you", "him", "not", "said", "the", "a", "of"]
+    for _ in range(500):
+        clauses = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 4))]
+        text = "".join(" ".join(c) + rng.choice([". ", ", ", "\n", "! "]) for c in clauses)
+        want = [p for c in clauses if any(p := plain_paths([lexicon.look(w) for w in c]))]
+        got = reader.paths(text)[0]
+        assert len(got) == len(want) and all(np.allclose(g, w) for g, w in zip(got, want)), text
+
+
+def test_each_relation_decides(spark, monkeypatch):
+    """Insults are in most of the toxic and in some of the other documents; how they are used tells. Without a relation's transducer held-out predictions differ."""
+    rng = np.random.default_rng(3)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    toxic = ["you are a moron", "a moron like him", "you moron", "we will kill you"]
+    clean = ["you are no moron", "he said you are a moron", "a moron came", "we kill time"]
+    texts, y = [], []
+    for k in range(3000):
+        y.append(int(k % 4 == 0))
+        used = str(rng.choice(toxic) if y[-1] else rng.choice(clean) if rng.random() < 0.14 else "we know it will be like this")
+        own = [" ".join(rng.choice(words, rng.integers(6, 18))) for _ in range(4)]
+        texts.append(f"{own[0]}. {own[1]}.\n{used}, {own[2]}. {own[3]}.")
+    docs, lab = documents(spark, texts), labels(spark, y, "toxic")
+    held = [k for k in range(len(y)) if zlib.crc32(str(k).encode()) % 5 == 0]
+
+    def predicted():
+        model = toxicity.train(docs, lab)
+        return model.scores(toxicity.Reader(model.lexicon), [texts[k] for k in held]) >= 0.5
+
+    whole, grammar, backwards = predicted(), toxicity.GRAMMAR, toxicity.BACKWARDS
+    truth = np.array([y[k] for k in held]) == 1
+    assert (whole == truth).mean() > 0.97
+    for part in grammar:
+        monkeypatch.setattr(toxicity, "GRAMMAR", tuple(t for t in grammar if t is not part))
+        monkeypatch.setattr(toxicity, "BACKWARDS", tuple(t for t in backwards if t is not part))
+        less = predicted()
+        assert (less != whole).any() and (less == truth).mean() < (whole == truth).mean(), grammar.index(part)
+
+
 def test_every_word_of_a_token_is_read():
     reader = toxicity.Reader(toxicity.Lexicon({"idiot": 2.0}, {}))
     weight = lambda t: sum(reader.clauses(t)[0])
@@ -101,6 +161,39 @@ def test_quality(spark):
     assert np.allclose(model.scores(ODD + texts[:5]), np.concatenate([model.scores([t]) for t in ODD + texts[:5]]), atol=1e-5)
 
 
+def test_quality_learns_no_held_out_label(spark):
+    texts = [("good words " if k % 3 else "### $$$ ") * 30 + str(k) for k in range(120)]
+    y = [int(k % 3 > 0) for k in range(120)]
+    flipped = [1 - v if zlib.crc32(str(k).encode()) % 5 == 0 else v for k, v in enumerate(y)]
+    a, b = (quality_cnn.train(documents(spark, texts), labels(spark, v, "quality")).scores(texts) for v in (y, flipped))
+    assert (a == b).all()
+
+
+def test_convolution_equals_a_naive_one():
+    """Each filter at each place of each chunk, one product at a time."""
+    rng = np.random.default_rng(5)
+    q, d = quality_cnn, quality_cnn.D
+    net = q.Network(*(rng.normal(0, 0.5, s).astype(np.float32) for s in ((256, d), (2, 4 * d, q.FILTERS), (q.FILTERS,), (q.FILTERS + 2, q.HIDDEN), (q.HIDDEN,), (q.HIDDEN,))), 0.25)
+    texts = [b"", b"short", bytes(rng.integers(0, 256, 1500, dtype=np.uint8)), "é".encode() * 700, b"x" * 512]
+    model = q.Model(net, None, 0.0)
+    data, chunks = q.laid_out(texts)
+    got = model.chunk_logits(data, chunks)
+    want = []
+    for t, n in zip(texts, chunks):
+        for c in range(n):
+            own = t[c * q.STEP : (c + 1) * q.STEP + q.CELL].ljust(q.STEP + q.CELL, b"\0")
+            best = np.full(q.FILTERS, -np.inf)
+            for at in range(0, q.STEP + q.CELL - 7, 4):
+                window = np.concatenate([net.bytes_[b] for b in own[at : at + 8]]).astype(np.float64)
+                best = np.maximum(best, window @ np.concatenate([net.filters[0], net.filters[1]]))
+            grams = [own[i : i + 4] for i in range(q.STEP - 3)]
+            real = [g for g in grams if g != bytes(4)]
+            again = (len(real) - len(set(real))) / max(1, len(real))
+            z = np.concatenate([np.maximum(best + net.bias, 0), [again, own[: q.STEP].count(0) / q.STEP]])
+            want.append(np.tanh(z @ net.w1 + net.b1) @ net.w2 + net.b2)
+    assert np.allclose(got, want, atol=1e-3)
+
+
 @pytest.mark.parametrize("module,column", [(toxicity, "toxic"), (quality_cnn, "quality")])
 def test_without_labels(spark, module, column):
     docs = documents(spark, ["a", None])
