@@ -15,7 +15,10 @@ def listed(value: Column, keys) -> Column:
 
 
 def fold(df: DataFrame, value: Column, keys, seed: Column, step: Callable[[Column, Column], Column], group: Sequence[str] = (), name: str = "result") -> DataFrame:
-    """An ordered left fold, of each group or of all rows. A fold that is associative belongs to a built-in aggregate instead."""
+    """An ordered left fold, of each group or of all rows. A fold that is associative belongs to a built-in aggregate instead.
+
+    A fold takes one value after the other, so a group's values meet in one task, and without a group all of them do.
+    """
     return df.groupBy(*group).agg(listed(value, keys).alias("_all")).select(*group, F.aggregate("_all", seed, step).alias(name))
 
 
@@ -100,16 +103,23 @@ def for_each(df: DataFrame, action: Callable[[Any], Any]) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def for_each_async(df: DataFrame, action: Callable[[Row], Any]) -> None:
-    """Awaits action(row) for each row; a partition's calls run together."""
+def for_each_async(df: DataFrame, action: Callable[[Row], Any], together: int = 64) -> None:
+    """Awaits action(row) for each row; in each task, up to so many calls run together."""
 
     def run(rows):
         import asyncio
 
-        async def both():
-            await asyncio.gather(*[action(r) for r in rows])
-
-        asyncio.run(both())
+        async def all_():
+            pending: set = set()
+            for r in rows:
+                pending.add(asyncio.ensure_future(action(r)))
+                if len(pending) >= together:
+                    done, pending = await asyncio.wait(pending, return_when=asyncio.FIRST_COMPLETED)
+                    for d in done:
+                        d.result()
+            await asyncio.gather(*pending)
+
+        asyncio.run(all_())
 
     df.foreachPartition(run)
 

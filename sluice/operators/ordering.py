@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.storage import scratch
+
 POSITION = "_pos"
-#: Values that the bounds of position buckets are chosen from.
-SAMPLE = 4096
 
 
 class NoOrder(ValueError):
@@ -25,35 +25,46 @@ def key_struct(keys) -> Column:
     return F.struct(*[F.col(k) for k in names(keys)])
 
 
-def positions(df: DataFrame, keys, name: str = POSITION, buckets: int | None = None) -> DataFrame:
-    """Adds the dense position from 0 in the order of keys, which must be total.
+def ranged(df: DataFrame, keys, n: int | None = None) -> DataFrame:
+    """df written once in the order of keys, in ranges of all of them: adds _part, the range, and _row, the place in it.
 
-    The first key's range is cut into buckets at sampled values. Rows are numbered
-    inside their bucket and start at the number of rows in earlier ones: a shuffle by
-    bucket, and no step that sees all rows. Bounds and bucket sizes are a few rows.
+    Ranges come from Spark's own sample of whole keys, so a value of the first key that
+    many rows share is cut too. What is written is read by every later step: a source
+    that changes in between can't give two orders.
     """
-    keys = names(keys)
-    spark, first = df.sparkSession, F.col(keys[0])
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = df.select(first.alias("k")).filter("k IS NOT NULL").orderBy(F.xxhash64("k")).limit(SAMPLE).distinct()
-    values = sorted(r["k"] for r in seen.collect())
-    bounds = sorted({values[i * len(values) // n] for i in range(1, n)}) if values else []
-    if not bounds:
-        w = Window.orderBy(*[F.col(k) for k in keys])
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    limits = F.array(*[F.lit(b) for b in bounds])
-    bucket = F.coalesce(F.size(F.filter(limits, lambda b: b <= first)), F.lit(0))
-    cut = df.withColumn("_bucket", F.when(first.isNull(), -1).otherwise(bucket))
-    sizes = {r["_bucket"]: r["n"] for r in cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, starts = 0, []
-    for b in sorted(sizes):
-        starts += [F.lit(b), F.lit(before)]
-        before += sizes[b]
-    if not starts:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    w = Window.partitionBy("_bucket").orderBy(*[F.col(k) for k in keys])
-    start = F.element_at(F.create_map(*starts), F.col("_bucket"))
-    return cut.withColumn(name, (start + F.row_number().over(w) - 1).cast("long")).drop("_bucket")
+    keys, spark = [F.col(k) for k in names(keys)], df.sparkSession
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = [c for c, kind in df.dtypes if kind == "void"]
+    sorted_ = df.drop(*none).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    path = scratch(spark, "ranged")
+    sorted_.write.parquet(path)
+    kept = spark.read.schema(sorted_.schema).parquet(path)
+    part, row = F.shiftright("_place", 33).cast("int"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.select(*[F.lit(None).alias(c) if c in none else F.col(f"`{c}`") for c in df.columns], part.alias("_part"), row.alias("_row"))
+
+
+def starts(kept: DataFrame, sum_: Column) -> DataFrame:
+    """_part, _start: what the earlier ranges add up to. A row for each range, which tasks bound."""
+    before, rows = 0, []
+    for r in sorted(kept.groupBy("_part").agg(sum_.cast("long").alias("n")).collect()):
+        rows.append((r["_part"], before))
+        before += r["n"]
+    return F.broadcast(kept.sparkSession.createDataFrame(rows, "_part int, _start long"))
+
+
+def positions(df: DataFrame, keys, name: str = POSITION, buckets: int | None = None) -> DataFrame:
+    """Adds the dense position from 0 in the order of keys, which must be total: the place in its range and the sizes of earlier ranges."""
+    kept = ranged(df, keys, buckets)
+    placed = kept.join(starts(kept, F.count(F.lit(1))), "_part")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("_start") + F.col("_row")).alias(name))
+
+
+def running(df: DataFrame, keys, value: Column, name: str) -> DataFrame:
+    """Adds the sum of value over all rows up to and including each, in the order of keys; no step sees all rows."""
+    kept = ranged(df.withColumn(name, value.cast("long")), keys)
+    w = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = kept.join(starts(kept, F.coalesce(F.sum(name), F.lit(0))), "_part")
+    return own.withColumn(name, F.col("_start") + F.coalesce(F.sum(name).over(w), F.lit(0))).drop("_part", "_row", "_start")
 
 
 def edge(df: DataFrame, keys, condition: Column) -> DataFrame:

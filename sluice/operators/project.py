@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.ordering import POSITION, positions
+from sluice.operators.ordering import POSITION, positions, running
 
 
 def select_indexed(df: DataFrame, keys, *columns: Callable[[Column], Column]) -> DataFrame:
@@ -53,14 +53,20 @@ def placed(df: DataFrame, row: DataFrame, keys, first: bool) -> DataFrame:
 
 
 def to_lines(df: DataFrame, slices: str, separator: str, keys, partition: tuple[str, ...] = ()) -> DataFrame:
-    """Slices joined up to each that equals the separator; a tail without one is dropped. Columns: partition, line_no, line."""
+    """Slices joined up to each that equals the separator; a tail without one is dropped. Columns: partition, line_no, line.
+
+    Without a partition, separators are counted over ranges of the keys; only a line's own slices meet in a task.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*partition).orderBy(*[F.col(k) for k in keys])
     ends = F.col(slices) == separator
-    line = F.sum(ends.cast("int")).over(w) - ends.cast("int")
+    if partition:
+        w = Window.partitionBy(*partition).orderBy(*[F.col(k) for k in keys])
+        numbered = df.withColumn("_line", F.sum(ends.cast("int")).over(w) - ends.cast("int"))
+    else:
+        numbered = running(df, keys, F.coalesce(ends, F.lit(False)).cast("int"), "_line").withColumn("_line", F.col("_line") - F.coalesce(ends, F.lit(False)).cast("int"))
     order = F.struct(*[F.col(k) for k in keys], F.col(slices).alias("_slice"))
-    lines = df.withColumn("_line", line).groupBy(*partition, "_line").agg(
+    lines = numbered.groupBy(*partition, "_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~ends, order))), lambda x: x["_slice"]), "").alias("line"),
         F.bool_or(ends).alias("_whole"),
     )

@@ -39,8 +39,15 @@ def except_(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*a.columns).subtract(b.select(*a.columns))
 
 
-def merge_ordered(first: DataFrame, second: DataFrame, keys) -> DataFrame:
-    """Two sorted inputs as one in the order of keys; of ties the first input's come first."""
+def merge_ordered(first: DataFrame, second: DataFrame, keys, place: str | None = None, ties=()) -> DataFrame:
+    """Two sorted inputs as one in the order of keys; of ties the first input's come first.
+
+    With place, rows get their place under that name instead of being sorted; ties names columns that tell equal rows of one input apart.
+    """
+    if place is not None:
+        from sluice.operators.ordering import names, positions
+
+        return positions(concat(first, second), [*names(keys), "_src", *ties], place)
     return concat(first, second).orderBy(*[F.col(k) for k in keys], "_src")
 
 

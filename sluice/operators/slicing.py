@@ -34,7 +34,8 @@ def take_range(df: DataFrame, keys, part: slice | range) -> DataFrame:
 
 
 def skip(df: DataFrame, keys, count: int) -> DataFrame:
-    return ordered(df, keys).offset(max(count, 0))
+    """All rows but the first count. An offset would bring all rows to one task; positions don't."""
+    return positions(df, keys).filter(F.col(POSITION) >= count).drop(POSITION) if count > 0 else df
 
 
 def take_while(df: DataFrame, keys, condition: Column) -> DataFrame:

@@ -85,14 +85,8 @@ def yaml_round_trip(spark, sf_dir):
     return bound(rows_of(docs, options), options).df
 
 
-@query("text_lines", "SELECT unnest(string_split(text, chr(10))) AS value FROM documents WHERE doc_id < 50 AND text <> ''")
+@query("text_lines", "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS value FROM documents")
 def text_lines(spark, sf_dir):
-    return lines_of(spark, table(spark, sf_dir, "documents").filter("doc_id < 50 AND text <> ''"))
-
-
-@query("text_lines_all", "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS value FROM documents")
-def text_lines_all(spark, sf_dir):
-    """All documents through the text writer and reader; text_lines keeps the id subset of its SQL."""
     return lines_of(spark, table(spark, sf_dir, "documents"))
 
 

@@ -42,10 +42,10 @@ def select_many(spark, sf_dir):
     return P.select_many(table(spark, sf_dir, "documents"), F.split("text", " ", -1), keep=("doc_id",))
 
 
-@query("select_many_indexed", "SELECT vec_id, i - 1 AS index, (embedding[i]::DOUBLE * p)::DOUBLE AS item FROM (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings), unnest([1, 2, 3]) AS t(i)")
+@query("select_many_indexed", "SELECT vec_id, i - 1 AS index, (embedding[i]::DOUBLE * p)::DOUBLE AS item FROM (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings), LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")
 def select_many_indexed(spark, sf_dir):
-    some = lambda p: F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * p)
-    return P.select_many_indexed(table(spark, sf_dir, "embeddings"), ["vec_id"], some, keep=("vec_id",))
+    scaled = lambda p: F.transform("embedding", lambda x: x.cast("double") * p)
+    return P.select_many_indexed(table(spark, sf_dir, "embeddings"), ["vec_id"], scaled, keep=("vec_id",))
 
 
 @query("flatten", "SELECT vec_id, i - 1 AS index, embedding[i]::DOUBLE AS item FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")
@@ -53,15 +53,8 @@ def flatten(spark, sf_dir):
     return P.flatten(table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding", keep=("vec_id",))
 
 
-@query("flatten_separator", """SELECT doc_id, i - 1 AS index, l[i] AS item FROM (SELECT doc_id, list_append(CASE WHEN doc_id % 7 = 0 THEN [] ELSE string_split(text, chr(10)) END, '--') AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
+@query("flatten_separator", """SELECT doc_id, i - 1 AS index, l[i] AS item FROM (SELECT doc_id, list_append(CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END, '--') AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
 def flatten_separator(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.split("text", "\n", -1)).alias("lines"))
-    return P.flatten(docs, "lines", F.lit("--"), keep=("doc_id",))
-
-
-@query("flatten_separator_all", """SELECT doc_id, i - 1 AS index, l[i] AS item FROM (SELECT doc_id, list_append(CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END, '--') AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)""")
-def flatten_separator_all(spark, sf_dir):
-    """All texts split; flatten_separator and to_lines keep the subsets of their SQL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
     return P.flatten(docs, "lines", F.lit("--"), keep=("doc_id",))
 
@@ -70,23 +63,24 @@ def flatten_separator_all(spark, sf_dir):
 def append_prepend(spark, sf_dir):
     region = table(spark, sf_dir, "region")
     row = lambda k, n: spark.createDataFrame([(k, n)], region.schema)
-    more = P.append(region, row(98, "LAST"), ["r_regionkey"])
-    first = P.prepend(region.limit(0), row(99, "FIRST"), ["r_regionkey"])
-    return more.unionByName(first).select("r_regionkey", "r_name", F.col("_order.side").alias("side"))
+    last = P.append(region, row(98, "LAST"), ["r_regionkey"]).filter("_order.side = 2")
+    return P.prepend(region, row(99, "FIRST"), ["r_regionkey"]).unionByName(last).select("r_regionkey", "r_name", F.col("_order.side").alias("side"))
 
 
 @query("to_lines", """SELECT doc_id, g AS line_no, coalesce(string_agg(w, '' ORDER BY p) FILTER (w <> 'the'), '') AS line FROM (
   SELECT *, cast(sum(cast(w = 'the' AS INT)) OVER (PARTITION BY doc_id ORDER BY p) - cast(w = 'the' AS INT) AS BIGINT) AS g FROM (
-    SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents WHERE lang = 'en')) GROUP BY doc_id, g HAVING bool_or(w = 'the')""")
+    SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents)) GROUP BY doc_id, g HAVING bool_or(w = 'the')""")
 def to_lines(spark, sf_dir):
-    return lines_by_the(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+    return lines_by_the(table(spark, sf_dir, "documents"))
 
 
-@query("to_lines_all", """SELECT doc_id, g AS line_no, coalesce(string_agg(w, '' ORDER BY p) FILTER (w <> 'the'), '') AS line FROM (
-  SELECT *, cast(sum(cast(w = 'the' AS INT)) OVER (PARTITION BY doc_id ORDER BY p) - cast(w = 'the' AS INT) AS BIGINT) AS g FROM (
-    SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents)) GROUP BY doc_id, g HAVING bool_or(w = 'the')""")
-def to_lines_all(spark, sf_dir):
-    return lines_by_the(table(spark, sf_dir, "documents"))
+@query("to_lines_whole", """SELECT g AS line_no, coalesce(string_agg(w, '' ORDER BY doc_id, p) FILTER (w <> 'the'), '') AS line FROM (
+  SELECT *, cast(sum(cast(w = 'the' AS INT)) OVER (ORDER BY doc_id, p) - cast(w = 'the' AS INT) AS BIGINT) AS g FROM (
+    SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents)) GROUP BY g HAVING bool_or(w = 'the')""")
+def to_lines_whole(spark, sf_dir):
+    """All texts as one sequence of slices, without a partition."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
+    return P.to_lines(words, "w", "the", ["doc_id", "p"])
 
 
 def lines_by_the(docs):
@@ -167,11 +161,9 @@ def distinct_first(spark, sf_dir):
 
 @query("merge_ordered", """SELECT o_orderkey, src, row_number() OVER (ORDER BY o_custkey, src, o_orderkey) - 1 AS place FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS src FROM orders)""")
 def merge_ordered(spark, sf_dir):
-    from sluice.operators.ordering import positions
-
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    merged = S.merge_ordered(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"])
-    return positions(merged, ["o_custkey", "_src", "o_orderkey"], "place").select("o_orderkey", F.col("_src").alias("src"), "place")
+    merged = S.merge_ordered(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "place", ["o_orderkey"])
+    return merged.select("o_orderkey", F.col("_src").alias("src"), "place")
 
 
 @query("unify_sources", "SELECT event_id, 'clicks' AS _source FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'large' FROM events WHERE value > 100")

@@ -43,16 +43,10 @@ def all_digits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.is_all_digits("p_name").alias("name"), X.is_all_digits(F.col("p_size").cast("string")).alias("size"), I.try_parse("p_brand", "int").alias("n"))
 
 
-@query("string_helpers", """SELECT doc_id, starts_with(text, 'T') AND ends_with(text, '.') AS between, starts_with(text, 'An') OR starts_with(text, 'Of') AS any_start, contains(text, ' the ') OR contains(text, 'ing') AS any_in,
-substr(text, 1, 4) || '##' || substr(text, 6) AS replaced, substr(text, 3, 5) AS part, length(text) - 1 AS last, false AS empty_token FROM documents WHERE length(text) > 10""")
-def string_helpers(spark, sf_dir):
-    return helped(table(spark, sf_dir, "documents").filter("length(text) > 10"), X.last_idx("text"))
-
-
-@query("string_helpers_all", """SELECT doc_id, coalesce(starts_with(text, 'T') AND ends_with(text, '.'), false) AS between, coalesce(starts_with(text, 'An') OR starts_with(text, 'Of'), false) AS any_start, coalesce(contains(text, ' the ') OR contains(text, 'ing'), false) AS any_in,
+@query("string_helpers", """SELECT doc_id, coalesce(starts_with(text, 'T') AND ends_with(text, '.'), false) AS between, coalesce(starts_with(text, 'An') OR starts_with(text, 'Of'), false) AS any_start, coalesce(contains(text, ' the ') OR contains(text, 'ing'), false) AS any_in,
 substr(text, 1, 4) || '##' || substr(text, 6) AS replaced, CASE WHEN length(text) > 7 THEN substr(text, 3, 5) END AS part, CASE WHEN text <> '' THEN length(text) - 1 END AS last, false AS empty_token FROM documents""")
-def string_helpers_all(spark, sf_dir):
-    """Short and empty texts too, which string_helpers leaves out as its SQL does; an empty text has no last index."""
+def string_helpers(spark, sf_dir):
+    """An empty text has no last index."""
     return helped(table(spark, sf_dir, "documents"), F.when(F.col("text") != "", X.last_idx("text")))
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,16 @@ class CsvWriteOptions(WriteOptions):
 class JsonWriteOptions(WriteOptions):
     indented: bool = True
     lines: bool = False
+    parts: bool = False
+    """A folder in which each task writes a file with an array of its own, in place of one file."""
 
 
 @dataclass
 class YamlWriteOptions(WriteOptions):
     write_empty: bool = True
     batch_size: int | None = None
+    parts: bool = False
+    """A folder in which each task writes a file with a sequence of its own, in place of one file."""
 
 
 def mode(o: WriteOptions) -> str:
@@ -95,13 +100,18 @@ def csv_header(df: DataFrame, separator: str = ",") -> str:
 
 
 def json_(df: DataFrame, path: str, options: JsonWriteOptions | None = None) -> None:
-    """NDJSON as a folder; else one file with one array, streamed through the driver a partition at a time."""
+    """NDJSON or files of arrays as a folder, by the tasks; else one file with one array, streamed through the driver a partition at a time."""
     o = options or JsonWriteOptions()
     if o.lines:
         rows, done = counted(df, o)
         rows.write.mode(mode(o)).json(path)
         done()
         return
+    if o.parts:
+        rows, done = counted(df, o)
+        rows.select(as_json(rows)).mapInPandas(json_array, "value string").write.mode(mode(o)).text(path)
+        done()
+        return
     n = 0
     with open_file(path, o) as f:
         f.write("[")
@@ -113,11 +123,33 @@ def json_(df: DataFrame, path: str, options: JsonWriteOptions | None = None) ->
     finish(o, n)
 
 
+def as_json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")
+
+
+def json_array(batches):
+    """A task's values as the lines of one array."""
+    n = 0
+    for batch in batches:
+        lines = batch["value"].copy()
+        for k in range(len(lines)):
+            lines.iat[k] = ("," if n else "[") + lines.iat[k]
+            n += 1
+        yield pd.DataFrame({"value": lines})
+    yield pd.DataFrame({"value": ["]" if n else "[]"]})
+
+
 def yaml_(df: DataFrame, path: str, options: YamlWriteOptions | None = None) -> None:
-    """One file with a sequence item for each row, or with batch_size a document for each batch."""
+    """One file with a sequence item for each row, or with batch_size a document for each batch; parts: a folder of files, by the tasks, an item a line."""
     import yaml
 
     o, n, held = options or YamlWriteOptions(), 0, []
+    if o.parts:
+        rows, done = counted(df, o)
+        # JSON values are YAML values.
+        rows.select(F.concat(F.lit("- "), as_json(rows)).alias("value")).write.mode(mode(o)).text(path)
+        done()
+        return
     with open_file(path, o) as f:
 
         def flush() -> None:

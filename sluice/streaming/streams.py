@@ -48,8 +48,8 @@ def poll_source(spark: SparkSession, name: str, poll: Callable[[int], Sequence[t
     return spark.readStream.format(name).load()
 
 
-def stop_when(df: DataFrame, stop: Callable[[DataFrame], bool], sink: Callable[[DataFrame], Any], interval: str = "1 second") -> StreamingQuery:
-    """Runs the stream into the sink until stop(batch) is true; the batch that meets it is written."""
+def stop_when(df: DataFrame, stop: Callable[[DataFrame], bool], sink: Callable[[DataFrame], Any], interval: str = "1 second", checkpoint: str | None = None) -> StreamingQuery:
+    """Runs the stream into the sink until stop(batch) is true; the batch that meets it is written. With a checkpoint, a restart goes on after the last batch."""
     box: dict[str, StreamingQuery] = {}
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -59,7 +59,8 @@ def stop_when(df: DataFrame, stop: Callable[[DataFrame], bool], sink: Callable[[
 
             threading.Thread(target=lambda: box["q"].stop(), daemon=True).start()
 
-    box["q"] = df.writeStream.foreachBatch(batch).trigger(processingTime=interval).start()
+    writer = df.writeStream.foreachBatch(batch).trigger(processingTime=interval)
+    box["q"] = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     return box["q"]
 
 

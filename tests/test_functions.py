@@ -96,7 +96,7 @@ def test_queries_of_all_texts(spark, tmp_path):
     rows = [(7 * k, t, "de" if k % 2 else "en") for k, t in enumerate(texts)] + [(1, None, "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    got = {r["doc_id"]: r for r in run("string_helpers_all")}
+    got = {r["doc_id"]: r for r in run("string_helpers")}
     assert len(got) == len(rows)
     for k, t in enumerate(texts):
         r = got[7 * k]
@@ -104,5 +104,5 @@ def test_queries_of_all_texts(spark, tmp_path):
         assert r["between"] == (t.startswith("T") and t.endswith("."))
     # A null text has no lines, but its separator; all others are split, those of ids that 7 divides too.
     want = [(7 * k, i, x) for k, t in enumerate(texts) for i, x in enumerate([*t.split("\n"), "--"])] + [(1, 0, "--")]
-    assert sorted((r["doc_id"], r["index"], r["item"]) for r in run("flatten_separator_all")) == sorted(want)
-    assert sorted((r["doc_id"], r["line"]) for r in run("to_lines_all")) == [(35, "Of"), (42, "x")]
+    assert sorted((r["doc_id"], r["index"], r["item"]) for r in run("flatten_separator")) == sorted(want)
+    assert sorted((r["doc_id"], r["line"]) for r in run("to_lines")) == [(35, "Of"), (42, "x")]

@@ -136,7 +136,7 @@ def test_text_lines_of_all_documents(spark, tmp_path):
 
     texts = {0: "a\nb", 49: "", 50: "c", 51: None, 10**6: "d\n\ne\n"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = [r["value"] for r in QUERIES["text_lines_all"](spark, str(tmp_path)).collect()]
+    got = [r["value"] for r in QUERIES["text_lines"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(line for t in texts.values() for line in (t or "").split("\n"))
 
 

@@ -141,7 +141,7 @@ def test_composite_join_of_all_orders(spark, tmp_path):
 
     rows = [(1, 1, "O"), (499, 1, "F"), (500, 1, "O"), (501, 1, "O"), (502, 2, "O"), (503, 1, None), (504, 1, None)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {(r["a_key"], r["b_key"]) for r in QUERIES["join_composite_all"](spark, str(tmp_path)).collect()}
+    got = {(r["a_key"], r["b_key"]) for r in QUERIES["join_composite"](spark, str(tmp_path)).collect()}
     assert got == {(1, 500), (1, 501), (500, 501)}
 
 
@@ -154,7 +154,27 @@ def test_outer_joins_of_whole_tables(spark, tmp_path):
     put("supplier", [(1,), (3,), (100,)], "s_suppkey long")
     got = lambda name: sorted((tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
     pairs = [(1, 1), (100, 201), (100, 203), (2, None)]
-    assert got("join_left_all") == sorted([(1, 1, "O"), (100, 201, "F"), (100, 203, "-"), (2, None, "-")], key=repr)
-    assert got("join_right_all") == sorted(pairs, key=repr)
-    assert got("join_full_all") == sorted([(1, 1), (100, 100), (2, None), (None, 3)], key=repr)
-    assert got("null_handling_all") == sorted([(1, False, "O", "xO", False), (100, False, "F", "xF", False), (100, False, "none", "x", True), (2, True, "none", "x", True)], key=repr)
+    assert got("join_left") == sorted([(1, 1, "O"), (100, 201, "F"), (100, 203, "-"), (2, None, "-")], key=repr)
+    assert got("join_right") == sorted(pairs, key=repr)
+    assert got("join_full") == sorted([(1, 1), (100, 100), (2, None), (None, 3)], key=repr)
+    assert got("null_handling") == sorted([(1, False, "O", "xO", False), (100, False, "F", "xF", False), (100, False, "none", "x", True), (2, True, "none", "x", True)], key=repr)
+
+
+def test_ranges_of_a_hot_or_constant_first_key_are_even(spark):
+    rows = spark.range(20000).select((F.col("id") % 3).alias("hot"), F.lit(1).alias("same"), "id")
+    for keys in (["hot", "id"], ["same", "id"]):
+        sizes = [r["count"] for r in O.ranged(rows, keys, 8).groupBy("_part").count().collect()]
+        assert len(sizes) >= 6 and max(sizes) < 20000 / 3
+        got = O.positions(rows, keys, buckets=8).orderBy("_pos").select("_pos", *keys).collect()
+        assert [r["_pos"] for r in got] == list(range(20000)) and [tuple(r)[1:] for r in got] == sorted(tuple(r)[1:] for r in got)
+
+
+def test_no_step_of_an_ordered_operator_sees_all_rows(spark):
+    from sluice.operators import project, slicing
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 7 == 0, "the").otherwise("x").alias("w"))
+    for df in (slicing.skip(rows, ["id"], 10), project.to_lines(rows, "w", "the", ["id"]), O.running(rows, ["id"], F.lit(1), "n")):
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in slicing.skip(rows, ["id"], 990).collect()) == list(range(990, 1000))
+    assert {r["line_no"]: r["line"] for r in project.to_lines(rows, "w", "the", ["id"]).collect()} == {k: "x" * 6 if k else "" for k in range(143)}
+    assert O.positions(rows.limit(0), ["id"]).count() == 0
