@@ -69,8 +69,8 @@ def trimmed(text: Column) -> Column:
 def drop_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, long_ratio: float | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines, n_dropped (long).
 
-    Null and empty texts stay as they are, with n_lines 0 for null. A null site is a
-    site of its own. Rows keep their number and other columns; columns of docs named
+    Null and empty texts stay as they are, with n_lines 0 for null. Null and empty
+    sites are one site. Rows keep their number and other columns; columns of docs named
     n_lines or n_dropped give way.
     """
     found = stored(boilerplate(docs, site, text, ratio, least_pages, long_ratio).withColumnRenamed("_lines", "_drop"), "boilerplate")

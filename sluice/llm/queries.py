@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, line_dedup, minhash, packing, pii, quality_cnn, quality_rules, token_output, toxicity, warc
-from sluice.llm.common import table
+from sluice.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and would alone: from the stored ledger, whose texts are not read again."""
+    rows = stored(quality_rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.ablations(rows, "v1")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(token_output.write(table(spark, sf_dir, "documents"), end=1))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -91,7 +98,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-OP3_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -114,8 +121,15 @@ b AS (
     + 64 * cast((100 * n_upper > 50 * word_chars) AS BIGINT) + 128 * cast((100 * n_exclaim > 20 * n_words) AS BIGINT) + 256 * cast((n_words > 1000000) AS BIGINT) AS fail_bits
   FROM m
 )
+"""
+OP3_SQL = f"""{LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 255) = 0 AS kept, fail_bits FROM b
 """
+ABLATIONS_SQL = f"""{LEDGER_SQL}
+SELECT 'v1' AS policy, (SELECT count(*) FROM b) AS n_docs, (SELECT count(*) FROM b WHERE fail_bits & 255 = 0) AS n_kept, rule,
+  (SELECT count(*) FROM b WHERE fail_bits & bit <> 0) AS n_failed, (SELECT count(*) FROM b WHERE fail_bits & 255 = bit) AS n_only_this
+FROM (VALUES {", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality_rules.RULES[:8]))}) AS rules(rule, bit)
+"""
 
 
 def _pii_sql() -> str:
@@ -195,4 +209,5 @@ ORACLES: dict[str, str] = {
     "op5_pii": _pii_sql(),
     "op6_warc": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
+    "quality_rule_ablations": ABLATIONS_SQL,
 }
