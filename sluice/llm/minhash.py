@@ -48,8 +48,10 @@ BANDS, ROWS = 48, 5
 SAMPLES, BITS = 512, 2048
 #: Standard deviations of sampling by which a pair of sets above SAMPLES must miss 0.75 to be ruled out: the hypergeometric tail there is below 1e-20.
 MARGIN = 12
-#: Most members of a block in the kernel, and pairs of a hub that are confirmed in one place.
+#: Most members of a block in the kernel.
 BLOCK = 1024
+#: Pairs of a hub that are confirmed in one place, about.
+PLACE = 64
 #: Words whose hashes a worker keeps.
 CACHE = 1 << 18
 
@@ -181,7 +183,7 @@ def routes(pairs: DataFrame) -> DataFrame:
     first = F.col("_na") >= F.col("_nb")
     hubs = sided.select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"),
-        F.expr(f"int(ceil(greatest(_na, _nb) / {BLOCK}))").alias("n"),
+        F.expr(f"int(ceil(greatest(_na, _nb) / {PLACE}))").alias("n"),
     )
     spokes = hubs.select(F.col("spoke").alias("doc"), F.struct("hub", F.expr("int(pmod(xxhash64(spoke), n))").alias("place")).alias("at"), F.lit(0).alias("n"))
     both = spokes.union(hubs.select(F.col("hub").alias("doc"), F.lit(None).cast("struct<hub:bigint,place:int>").alias("at"), "n"))

@@ -58,6 +58,7 @@ GIVEN = {
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: A mark between words that ends a clause; one before a digit is part of a number. The end of a line is read as LINE.
 LINE = "\0"
+MARKS = frozenset(".!?;,:" + LINE)
 END = re.compile(rf"[.!?;,:{LINE}](?![\d_])")
 #: Relations of an insult, as bits; its path is the first that holds, reported before negated before targeted, or bare.
 TARGETED, NEGATED, REPORTED = 1, 2, 4
@@ -141,6 +142,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.given = {w: kind for kind, words in GIVEN.items() for w in words.split()}
+        self.lengths = sorted({len(x) for x in self.stems})
 
     def look(self, word: str) -> tuple[int, float]:
         """A given class comes first: labels can't turn a threat or a target into an insult."""
@@ -148,7 +150,7 @@ class Lexicon:
             return self.given[word], 0.0
         if word in self.words:
             return INSULT, self.words[word]
-        for k in STEM:
+        for k in self.lengths:
             if word[:k] in self.stems and len(word) > k:
                 return INSULT, self.stems[word[:k]]
         return NEUTRAL, 0.0
@@ -226,15 +228,23 @@ class Reader(dict):
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.table, self.back, self.factors = lexicon, composed(GRAMMAR), composed(BACKWARDS), factors(GRAMMAR + BACKWARDS)
+        self.same: dict = {}  # nearly all tokens read alike: they share one value
+        self.telling: set[str] = set()  # tokens that hold an insult or a threatening verb
 
     def __missing__(self, token: str) -> tuple[tuple[int, float, bool, bool], ...]:
-        found = WORD.findall(token)
-        ends = [END.search(x) is not None for x in WORD.split(token)]
-        if found:
+        bare = token[:-1] if token[-1] in MARKS else token
+        if bare.isalpha():
+            # One word, and perhaps a mark that ends its clause.
+            value = ((*self.lexicon.look(bare), False, bare is not token),)
+        elif found := WORD.findall(token):
+            ends = [END.search(x) is not None for x in WORD.split(token)]
             # The mark between two words of a token ends the clause of the first.
             value = tuple((*self.lexicon.look(w), k == 0 and ends[0], ends[k + 1]) for k, w in enumerate(found))
         else:
-            value = ((NEUTRAL, 0.0, False, ends[0]),)
+            value = ((NEUTRAL, 0.0, False, END.search(token) is not None),)
+        if any(x[0] in (INSULT, THREAT) for x in value):
+            self.telling.add(token)
+        value = self.same.setdefault(value, value)
         if len(token) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
@@ -244,7 +254,10 @@ class Reader(dict):
     def paths(self, text: str | None) -> tuple[list[list[float]], int]:
         """(for each matched clause the weights of its insults and threats on each path, number of words)."""
         tokens = text.lower().replace("\n", f" {LINE} ").split() if text else []
-        read = list(chain.from_iterable(map(self.__getitem__, tokens)))
+        found = list(map(self.__getitem__, tokens))
+        if self.telling.isdisjoint(tokens):
+            return [], sum(map(len, found))
+        read = list(chain.from_iterable(found))
         hits = [i for i, x in enumerate(read) if x[0] in (INSULT, THREAT)]
         out, done = [], -1
         for i in hits:

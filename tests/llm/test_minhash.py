@@ -63,6 +63,7 @@ def test_equals_brute_force(spark, seed):
 
 def test_hot_group_of_near_copies_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PLACE", 16)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.05]))) for _ in range(90)]
