@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import broadcast_if_small, clean_shuffles, discard, give_back, stored
+from sluice.llm.common import broadcast_if_small, clean_shuffles, discard, give_back, small_batches, stored
 from sluice.llm.components import components, roots
 
 SHINGLE = 5
@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     nameless = docs.filter(F.col(doc_id).isNull()).select(F.lit(0).cast("long").alias("doc"), F.col(text).alias("text"))
     docs = docs.filter(F.col(doc_id).isNotNull())
-    all_docs = stored(describe(docs, doc_id, text), "described")
+    with small_batches(docs.sparkSession):
+        all_docs = stored(describe(docs, doc_id, text), "described")
     classes = stored(all_docs.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc")), "classes")
     # Copies of a set have its bands too; only the smallest document's go on.
     reps = all_docs.select("doc", "fp", "bands").join(classes, ["doc", "fp"], "left_semi")

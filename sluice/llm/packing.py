@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import id_or_none, stored
+from sluice.llm.common import id_or_none, small_batches, stored
 from sluice.llm.token_output import id_width, tokenized
 from sluice.llm.tokens import tokenizer_path
 
@@ -99,7 +99,8 @@ def pack(
     """
     path = path or tokenizer_path()
     width = id_width(path, end)
-    tokens = stored(tokenized(docs, path, end, doc_id, text), "ids")
+    with small_batches(docs.sparkSession):
+        tokens = stored(tokenized(docs, path, end, doc_id, text), "ids")
     full = WINDOWS * (capacity - SLACK * capacity // CAPACITY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
