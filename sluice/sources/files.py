@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -228,58 +229,55 @@ class JsonOptions(ReadOptions):
     """Whether a root that is no array is one record."""
 
 
-def elements(content: bytes) -> Iterator[tuple[object, str, tuple[str, str] | None]]:
-    """(value, text, fault) of the root array's elements in turn, or of the root. Comments and trailing commas are let by."""
+#: White space and comments, whole ones or one that the text's end cuts.
+GAP = re.compile(r"(?:[ \t\r\n]++|//[^\n]*+|/\*.*?(?:\*/|\Z))*+", re.DOTALL)
+#: A string, a comment, a comma before a closing bracket, or one other character.
+LOOSE = re.compile(rf'(?P<text>"(?:[^"\\]|\\.)*+"?+)|(?P<comment>//[^\n]*+|/\*.*?(?:\*/|\Z))|(?P<comma>,(?={GAP.pattern}[}}\]]))', re.DOTALL)
+
+
+def elements(content: bytes) -> Iterator[tuple[object, str, tuple[str, str] | None, bool]]:
+    """(value, text, fault, plain) of the root array's elements in turn, or of the root. Comments and trailing commas are let by; plain texts have none."""
     src = content.decode("utf-8-sig")
     decoder = json.JSONDecoder()
 
     def gap(i: int) -> int:
-        while i < len(src):
-            if src[i] in " \t\r\n":
-                i += 1
-            elif src.startswith("//", i):
-                i = src.find("\n", i) if "\n" in src[i:] else len(src)
-            elif src.startswith("/*", i):
-                i = src.index("*/", i) + 2
-            else:
-                break
-        return i
+        return GAP.match(src, i).end()
 
-    def value(i: int) -> tuple[object, int]:
+    def value(i: int) -> tuple[object, int, bool]:
         try:
-            return decoder.raw_decode(src, i)
+            return *decoder.raw_decode(src, i), True
         except json.JSONDecodeError:
             end = matching(src, i)
-            return json.loads(relaxed(src[i:end])), end
+            return json.loads(relaxed(src[i:end])), end, False
 
     i = gap(0)
     if i >= len(src):
-        yield None, "", ("JsonRootError", "no value")
+        yield None, "", ("JsonRootError", "no value"), False
         return
     if src[i] != "[":
         try:
-            v, end = value(i)
-            yield v, src[i:end], None
+            v, end, plain = value(i)
+            yield v, src[i:end], None, plain
         except ValueError as e:
-            yield None, src[i : i + 200], ("JsonException", str(e))
+            yield None, src[i : i + 200], ("JsonException", str(e)), False
         return
     i = gap(i + 1)
     while i < len(src) and src[i] != "]":
         try:
-            v, end = value(i)
+            v, end, plain = value(i)
         except ValueError as e:
             end = matching(src, i)
-            yield None, src[i:end], ("JsonException", str(e))
+            yield None, src[i:end], ("JsonException", str(e)), False
         else:
-            yield v, src[i:end], None
+            yield v, src[i:end], None, plain
         i = gap(end)
         if i < len(src) and src[i] == ",":
             i = gap(i + 1)
         elif i < len(src) and src[i] != "]":
-            yield None, src[i : i + 200], ("JsonException", "a comma or the end of the array was due")
+            yield None, src[i : i + 200], ("JsonException", "a comma or the end of the array was due"), False
             return
     if i >= len(src):
-        yield None, src[-200:], ("JsonException", "the array never ends")
+        yield None, src[-200:], ("JsonException", "the array never ends"), False
 
 
 def matching(src: str, i: int) -> int:
@@ -310,10 +308,7 @@ def matching(src: str, i: int) -> int:
 
 def relaxed(src: str) -> str:
     """Without comments and trailing commas; strings stay as they are."""
-    import re
-
-    tokens = re.findall(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|,(?=\s*(?:(?://[^\n]*\s*)|(?:/\*.*?\*/\s*))*[}\]])|.', src, re.DOTALL)
-    return "".join(t for k, t in enumerate(tokens) if not t.startswith(("//", "/*")) and not (t == "," and re.match(r"(?:\s|//[^\n]*|/\*.*?\*/)*[}\]]", "".join(tokens[k + 1 : k + 400]), re.DOTALL)))
+    return LOOSE.sub(lambda m: m["text"] or "", src)
 
 
 def longest_string(v: object) -> int:
@@ -324,21 +319,33 @@ def longest_string(v: object) -> int:
     return max(map(longest_string, v), default=0) if isinstance(v, list) else 0
 
 
-def named(v: object, to: T.DataType | None) -> object:
-    """Property names as the schema writes them; they match in any case, exact ones first."""
-    if isinstance(to, T.ArrayType) and isinstance(v, list):
-        return [named(x, to.elementType) for x in v]
-    if not isinstance(to, T.StructType) or not isinstance(v, dict):
-        return v
-    exact, lower = {f.name: f for f in to}, {f.name.lower(): f for f in to}
-    out = {}
-    for k, x in v.items():
-        f = exact.get(k) or lower.get(k.lower())
-        if f is None:
-            out[k] = x
-        elif f.name == k or f.name not in v:
-            out[f.name] = named(x, f.dataType)
-    return out
+def renamer(to: T.DataType | None) -> Callable[[object], object] | None:
+    """Gives property names as the schema writes them; they match in any case, exact ones first. None if the type has no names.
+
+    A flat object whose names are right comes back itself.
+    """
+    if isinstance(to, T.ArrayType):
+        one = renamer(to.elementType)
+        return None if one is None else lambda v: [one(x) for x in v] if isinstance(v, list) else v
+    if not isinstance(to, T.StructType):
+        return None
+    inner = {f.name: renamer(f.dataType) for f in to}
+    lower = {f.name.lower(): f.name for f in to}
+    flat = not any(inner.values())
+
+    def run(v: object) -> object:
+        if not isinstance(v, dict) or (flat and v.keys() <= inner.keys()):
+            return v
+        out = {}
+        for k, x in v.items():
+            name = k if k in inner else lower.get(k.lower())
+            if name is None:
+                out[k] = x
+            elif name == k or name not in v:
+                out[name] = inner[name](x) if inner[name] else x
+        return out
+
+    return run
 
 
 def json_rows(files: DataFrame, options: JsonOptions, field: str = "content") -> DataFrame:
@@ -347,12 +354,13 @@ def json_rows(files: DataFrame, options: JsonOptions, field: str = "content") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         most, size, length, single = o
         names = ["_file", "_record", "_line", "_raw", "_value", "_kind", "_message"]
+        rename = renamer(schema) or (lambda v: v)
         for batch in batches:
             for name, content in zip(batch["_file"], batch[field], strict=True):
                 rows = []
                 data = content if isinstance(content, bytes) else str(content).encode()
                 array = data.decode("utf-8-sig").lstrip()[:1] == "["
-                for k, (v, src, fault) in enumerate(elements(data), 1):
+                for k, (v, src, fault, plain) in enumerate(elements(data), 1):
                     if fault is None and not array and not single:
                         fault = ("JsonRootError", "the root is no array")
                     if most is not None and k > most:
@@ -364,7 +372,13 @@ def json_rows(files: DataFrame, options: JsonOptions, field: str = "content") ->
                         fault = ("JsonSizeLimit", f"longer than {size} bytes")
                     if fault is None and length is not None and longest_string(v) > length:
                         fault = ("JsonSizeLimit", f"a string longer than {length}")
-                    rows.append((name, k, None, src, None if fault else json.dumps(named(v, schema), ensure_ascii=False), *(fault or (None, None))))
+                    # A text that is JSON with the schema's names goes on as it is.
+                    renamed = None if fault else rename(v)
+                    text = None if fault else src if plain and renamed == v else json.dumps(renamed, ensure_ascii=False)
+                    rows.append((name, k, None, src, text, *(fault or (None, None))))
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
                 yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, "_file string, _record long, _line long, _raw string, _value string, _kind string, _message string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from enum import Enum
@@ -81,12 +82,36 @@ def records(pieces: Iterable[str], dialect: Dialect = Dialect()) -> Iterator[Rec
         fault, start = None, line
         return out
 
+    mark = re.compile('[\r\n"]')
+    run = re.compile(f'[^{re.escape(sep)}\r\n"]+')
     for piece in pieces:
-        for c in piece:
+        i = 0
+        while i < len(piece):
             if held_cr:
                 held_cr = False
-                if c == "\n":
-                    continue  # the second half of an end of line that counted already
+                if piece[i] == "\n":
+                    i += 1  # the second half of an end of line that counted already
+                    continue
+            if state == "start" and not raw:
+                # A whole line without a quote is cut at its separators.
+                m = mark.search(piece, i)
+                if m is not None and m[0] != '"':
+                    text, at = piece[i : m.start()], line
+                    line += 1
+                    start, held_cr, i = line, m[0] == "\r", m.end()
+                    if text:
+                        cells = text.split(sep)
+                        if dialect.max_columns is not None and len(cells) > dialect.max_columns:
+                            note("CsvLimitExceeded", f"more than {dialect.max_columns} columns")
+                        elif dialect.max_record_length is not None and len(text) > dialect.max_record_length:
+                            note("CsvLimitExceeded", f"longer than {dialect.max_record_length} characters")
+                        number += 1
+                        yield Record(number, at, [c.strip() for c in cells] if dialect.trim else cells, text, fault)
+                        fault = None
+                    continue
+            m = run.match(piece, i)
+            c = piece[i] if m is None else m[0]
+            i += len(c)
             if state == "quoted":
                 raw.append(c)
                 if c == "\n":
@@ -96,7 +121,7 @@ def records(pieces: Iterable[str], dialect: Dialect = Dialect()) -> Iterator[Rec
                 else:
                     field.append(c)
                 continue
-            if c in "\r\n":
+            if c in ("\r", "\n"):
                 line += 1
                 held_cr = c == "\r"
                 if (r := end_record()) is not None:
@@ -120,15 +145,14 @@ def records(pieces: Iterable[str], dialect: Dialect = Dialect()) -> Iterator[Rec
                     field.append(c)
                 continue
             if state == "closed":
-                if c in " \t" and not dialect.trailing_garbage_is_error:
-                    continue
+                if not dialect.trailing_garbage_is_error:
+                    c = c.lstrip(" \t")
+                    if not c:
+                        continue
                 if dialect.trailing_garbage_is_error or dialect.quote_mode is QuoteMode.ERROR:
                     note("CsvQuoteError", "text after a closing quote")
             field.append(c)
-            if state == "start":
-                state = "plain"
-            elif state == "closed":
-                state = "plain"
+            state = "plain"
     if state == "quoted":
         note("CsvQuoteError", "a quote that never closes")
     if (r := end_record()) is not None:

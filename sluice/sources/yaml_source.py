@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sluice.sources.errors import ReadOptions, Result
-from sluice.sources.files import JsonOptions, contents, json_of, named
+from sluice.sources.files import JsonOptions, contents, json_of, renamer
 
 
 @dataclass
@@ -83,13 +83,18 @@ def items(text: str, o: YamlOptions) -> Iterator[tuple[object, tuple[str, str] |
 
 def rows_of(files: DataFrame, o: YamlOptions) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["_file", "_record", "_line", "_raw", "_value", "_kind", "_message"]
+        rename = renamer(o.schema) or (lambda v: v)
         for batch in batches:
             for name, content in zip(batch["_file"], batch["content"], strict=True):
                 rows = []
                 for k, (value, fault) in enumerate(items(content.decode("utf-8-sig"), o), 1):
-                    text = None if fault else json.dumps(named(value, o.schema), ensure_ascii=False, default=str)
+                    text = None if fault else json.dumps(rename(value), ensure_ascii=False, default=str)
                     rows.append((name, k, None, text or "", text, *(fault or (None, None))))
-                yield pd.DataFrame(rows, columns=["_file", "_record", "_line", "_raw", "_value", "_kind", "_message"])
+                    if len(rows) == 4096:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, "_file string, _record long, _line long, _raw string, _value string, _kind string, _message string")
 
