@@ -405,7 +405,7 @@ def pattern_builders(spark, sf_dir):
     )
 
 
-@query("pattern_words", "SELECT doc_id, regexp_matches(text, '\s*\w+\s*\s*\w+\s*\s*\w+\s*') AS three FROM documents WHERE regexp_full_match(text, '[ -~\n]*')")
+@query("pattern_words", r"SELECT doc_id, regexp_matches(text, '\s*\w+\s*\s*\w+\s*\s*\w+\s*') AS three FROM documents WHERE regexp_full_match(text, '[ -~\n]*')")
 def pattern_words(spark, sf_dir):
     """Three words in a row, in texts of ASCII, where engines agree on what a word is."""
     return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[ -~\n]*\z")).select("doc_id", F.col("text").rlike(K.words(3)).alias("three"))

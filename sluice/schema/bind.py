@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,15 @@ ORDER, ALLOWED, FORMATS = "order", "allowed", "formats"
 DEFAULTS = {"boolean": False, "string": ""}
 
 
+#: Numbers that every reading takes alike.
+PLAIN = r"^[+-]?[0-9]+([.][0-9]*)?$"
+
+
+def seldom(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f(text) out of line: long expressions that few rows need would make the code of all rows too long to be compiled."""
+    return F.get(F.transform(F.array(text), f), F.lit(0))
+
+
 def converted(value: Column, source: T.DataType, field: T.StructField) -> Column:
     """A column as the field's type. Text that isn't one becomes null; empty text is null, or the default of a field that can't be."""
     to = field.dataType
@@ -26,9 +35,9 @@ def converted(value: Column, source: T.DataType, field: T.StructField) -> Column
     if isinstance(to, T.BooleanType):
         out = F.coalesce(boolean_of(text), F.when(text == "1", True).when(text == "0", False))
     elif isinstance(to, T.DecimalType):
-        out = decimal_of(text, kind)
+        out = F.when(text.rlike(PLAIN), text.try_cast(kind)).otherwise(seldom(text, lambda t: decimal_of(t, kind)))
     elif isinstance(to, (T.FloatType, T.DoubleType)):
-        out = F.coalesce(text.try_cast(kind), double_of(text).try_cast(kind))
+        out = F.coalesce(text.try_cast(kind), seldom(text, lambda t: double_of(t).try_cast(kind)))
     elif isinstance(to, T.TimestampType):
         tries = [F.try_to_timestamp(text, F.lit(f)) for f in (field.metadata or {}).get(FORMATS, ())]
         out = F.coalesce(*tries, timestamp_of(text))

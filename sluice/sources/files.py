@@ -109,6 +109,8 @@ def csv_native(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) ->
     head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
     first = next(iter(records([head[0]["value"].lstrip("\ufeff")], o.dialect())), None) if head else None
     names = named_columns(first.fields if first else None, o)
+    if not names:
+        return csv_of(parsed(contents(spark, path), o), o)
     kinds = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
     lines = (
         spark.read.schema(kinds)
@@ -126,13 +128,16 @@ def csv_native(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) ->
             out.append((r.fields if r else None, *((r.fault if r else None) or (None, None))))
         return pd.DataFrame(out, columns=["fields", "kind", "message"])
 
-    number, ok = F.lit(None).cast("long"), F.col("_bad").isNull()
-    whole = F.array(*[F.coalesce(F.col(f"c{k}"), F.lit("")) for k in range(len(names))])
-    # One pass; the exact parser gets a null, and does nothing, for records in order.
-    rows = lines.withColumns({"_file": F.col("_metadata.file_path"), "_r": again("_bad")})
-    fields = F.when(ok, whole).otherwise(F.coalesce("_r.fields", F.array().cast("array<string>")))
-    rows = rows.select("_file", number.alias("_record"), number.alias("_line"), F.col("_bad").alias("_raw"), fields.alias("_fields"), F.col("_r.kind").alias("_kind"), F.col("_r.message").alias("_message"))
-    return csv_rows(rows, names, o)
+    number = F.lit(None).cast("long")
+    # Spark refuses queries of the odd records' column alone; this one is always true.
+    lines = lines.filter("length(coalesce(c0, '')) >= 0").withColumns({"_file": F.col("_metadata.file_path"), "_record": number, "_line": number})
+    # Records in order stay in the JVM; only odd ones go to Python. Reading twice is cheaper than sending all through.
+    cells = [F.coalesce(F.col(f"c{k}"), F.lit("")).alias(c) for k, c in enumerate(names)]
+    fine = lines.filter("_bad IS NULL").select("_file", "_record", "_line", F.col("_bad").alias("_raw"), no_error().alias("_error"), *cells)
+    odd = lines.filter("_bad IS NOT NULL").withColumn("_r", again("_bad"))
+    fields = F.coalesce("_r.fields", F.array().cast("array<string>"))
+    odd = odd.select("_file", "_record", "_line", F.col("_bad").alias("_raw"), fields.alias("_fields"), F.col("_r.kind").alias("_kind"), F.col("_r.message").alias("_message"))
+    return csv_result(fine.unionByName(csv_judged(odd, names, o)), names, o)
 
 
 def named_columns(first: list[str] | None, o: CsvOptions) -> list[str]:
@@ -165,11 +170,11 @@ def csv_text(spark: SparkSession, content: str, options: CsvOptions | None = Non
 def csv_of(raw: DataFrame, options: CsvOptions) -> Result:
     first = raw.filter("_record = 1").select("_fields").limit(1).collect()
     names = named_columns(first[0]["_fields"] if first else None, options)
-    return csv_rows(raw.filter("_record > 1") if options.header else raw, names, options)
+    return csv_result(csv_judged(raw.filter("_record > 1") if options.header else raw, names, options), names, options)
 
 
-def csv_rows(body: DataFrame, names: list[str], options: CsvOptions) -> Result:
-    """RAW rows as records and errors."""
+def csv_judged(body: DataFrame, names: list[str], options: CsvOptions) -> DataFrame:
+    """RAW rows with their fault, null if fine, and their cells."""
     n = F.size("_fields")
     fault = (
         F.when(F.col("_kind").isNotNull(), F.struct(F.col("_kind").alias("type"), F.col("_message").alias("message")))
@@ -178,7 +183,11 @@ def csv_rows(body: DataFrame, names: list[str], options: CsvOptions) -> Result:
         .otherwise(no_error())
     )
     cells = [F.get("_fields", F.lit(k)).alias(c) for k, c in enumerate(names)]
-    rows = body.select("_file", "_record", "_line", "_raw", fault.alias("_error"), *cells)
+    return body.select("_file", "_record", "_line", "_raw", fault.alias("_error"), *cells)
+
+
+def csv_result(rows: DataFrame, names: list[str], options: CsvOptions) -> Result:
+    """Judged rows as records and errors, typed by the options."""
     result = split(rows, "Csv", options, [F.col(f"`{c}`") for c in names])
     if options.convert is not None:
         result.df = result.df.select(*[options.convert(c, F.col(f"`{c}`")).alias(c) for c in names])

@@ -26,6 +26,37 @@ def test_rfc4180():
     assert [r.fields for r in cut] == [["a", "b\nc"], ["d"]] and [r.line for r in cut] == [1, 3]
 
 
+def test_pieces_of_csv_do_not_matter():
+    """Whole lines are cut at once, single characters go through the states: both give the same records."""
+    import random
+
+    draw, tell = random.Random(3), lambda rs: [(r.number, r.line, r.fields, r.raw, r.fault) for r in rs]
+    for _ in range(3000):
+        text = "".join(draw.choice('ab ,"\r\n') for _ in range(draw.randrange(16)))
+        d = Dialect(quote_mode=draw.choice(list(QuoteMode)), trim=draw.random() < 0.5, max_columns=draw.choice([None, 2]), max_record_length=draw.choice([None, 4]))
+        assert tell(records([text], d)) == tell(records(list(text), d))
+
+
+def test_json_commas_and_comments(spark):
+    schema = T.StructType([T.StructField("a", T.ArrayType(T.StringType())), T.StructField("n", T.DoubleType())])
+    text = '[{"a": ["x",/* c */"y"], "n": 1.50}, {"A": ["//", "z",],\n // d\n }, {"n": 2, "zz": 1}]'
+    rows = files.json_text(spark, text, files.JsonOptions(schema=schema)).df.collect()
+    assert [(r["a"], r["n"]) for r in rows] == [(["x", "y"], 1.5), (["//", "z"], None), (None, 2.0)]
+
+
+def test_numbers_of_csv(spark, tmp_path):
+    """Numbers as every reading takes them, and those that only the long way reads, by both parsers."""
+    schema = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("m", T.DecimalType(20, 4))])
+    cells = ["1.5", "+7", "1.234,5", "1,234.5", "1.234", " 8. ", "x", "", "-2,5", "1 234.5"]
+    (tmp_path / "n.csv").write_text("d,m\n" + "".join(f'"{c}","{c}"\n' for c in cells))
+    for numbered in (False, True):
+        rows = files.csv(spark, str(tmp_path / "n.csv"), files.CsvOptions(schema=schema, numbered=numbered)).df.collect()
+        want = [1.5, 7.0, 1234.5, 1234.5, 1.234, 8.0, None, None, -2.5, 1234.5]
+        assert [r["d"] for r in rows] == want and [r["m"] if r["m"] is None else float(r["m"]) for r in rows] == want
+    (tmp_path / "none.csv").write_text("")
+    assert files.csv(spark, str(tmp_path / "none.csv")).df.columns == []
+
+
 def test_csv_policies(spark, tmp_path):
     text = "id,name\n1,a\n2,b,c\n3,d\n"
     with pytest.raises(Exception, match="SchemaError"):
