@@ -394,7 +394,7 @@ def sub_parts(spark, sf_dir):
     )
 
 
-@query("pattern_builders", """SELECT page_id, regexp_extract(url, '(https?)', 1) AS scheme, regexp_extract(url, '://([a-z0-9.-]+)', 1) AS host, regexp_matches(url, '\.(com|org|net)') AS top, regexp_matches(url, '(ab)*\d{2,4}') AS digits, regexp_matches(url, '\s+x\s+') AS spaced FROM pages""")
+@query("pattern_builders", r"""SELECT page_id, regexp_extract(url, '(https?)', 1) AS scheme, regexp_extract(url, '://([a-z0-9.-]+)', 1) AS host, regexp_matches(url, '\.(com|org|net)') AS top, regexp_matches(url, '(ab)*\d{2,4}') AS digits, regexp_matches(url, '\s+x\s+') AS spaced FROM pages""")
 def pattern_builders(spark, sf_dir):
     """Patterns put together from parts, matched in the JVM."""
     scheme, host = K.as_("http" + K.maybe("s")), "://" + K.as_(K.many("[a-z0-9.-]"))

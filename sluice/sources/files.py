@@ -112,10 +112,11 @@ def csv_native(spark: SparkSession, path: str | Sequence[str], o: CsvOptions) ->
     if not names:
         return csv_of(parsed(contents(spark, path), o), o)
     kinds = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
+    # Without all columns a record's size isn't seen: no pruning.
     lines = (
         spark.read.schema(kinds)
         .options(sep=o.separator[:1] or ",", header=o.header, quote='"', escape='"', multiLine=o.multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding=o.encoding)
-        .options(ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, maxCharsPerColumn=-1, enforceSchema=True)
+        .options(ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, maxCharsPerColumn=-1, enforceSchema=True, columnPruning=False)
         .csv(path)
     )
     dialect = o.dialect()

@@ -176,3 +176,12 @@ def test_json_schema_of_all_values(spark):
     df = files.json_text(spark, content, files.JsonOptions()).df
     assert set(df.columns) >= {"a", "late"} and df.count() == 1501
     assert [(r["a"], r["late"]) for r in df.filter("late IS NOT NULL").collect()] == [(2.5, "x")]
+
+
+def test_faults_without_line_ends_in_fields(spark, tmp_path):
+    """Files that are split find the same faults, whichever columns are asked for."""
+    (tmp_path / "f.csv").write_text('id,s,v\n1,a,2.5\n2,b,3,4\n3,c\n4,"d,e",1\n')
+    for lines in (True, False):
+        r = files.csv(spark, str(tmp_path / "f.csv"), files.CsvOptions(action=Action.SKIP, multi_line=lines))
+        assert [e["raw_excerpt"] for e in r.errors.select("raw_excerpt").collect()] == ["2,b,3,4"] and r.errors.count() == 1
+        assert r.df.count() == 3 and sorted(x["id"] for x in r.df.select("id").collect()) == ["1", "3", "4"]
